@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rimlight.operators.streaks import label_streaks, streak_or_zero
-from rimlight.session import scratch_path
+from rimlight.session import cut_lineage, scratch_path
 
 # Orders per game, and number of shooters; ids below the latter exist as suppliers at most scales.
 GAME_SHOTS = 40
@@ -60,6 +60,11 @@ def streak_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_streaks(event_shots(spark, sf_dir), order=("ts", "event_id"), reset=())
 
 
+def stored_streak_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``streak_shots`` written to the shared folder, as the labelled season table is stored."""
+    return cut_lineage(streak_shots(spark, sf_dir))
+
+
 def covered_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ENRICHED columns over events: a game is a day, the coverage follows from the event id."""
     event_id = F.col("event_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # Lengths in feet, labels and patterns of the source data.
 COURT_LENGTH = 94
+COURT_WIDTH = 50
 HALF_COURT = 47
 BACKBOARD_OFFSET = 4
 NECK_LENGTH = 0.5
@@ -40,11 +41,16 @@ def game_key(game_id: str | Column) -> Column:
 
 
 def fold_half_court(x: str | Column) -> Column:
-    """x mirrored onto one half; y is left as it is."""
+    """x mirrored onto one half."""
     x = _col(x)
     return F.when(x > HALF_COURT, COURT_LENGTH - x).otherwise(x)
 
 
+def turn_half_court(x: str | Column, y: str | Column) -> Column:
+    """y of a point whose half is turned, not mirrored, onto the other."""
+    return F.when(_col(x) > HALF_COURT, COURT_WIDTH - _col(y)).otherwise(_col(y))
+
+
 def shot_game_clock(minutes: str | Column, seconds: str | Column) -> Column:
     """Seconds left in the quarter."""
     return _col(minutes) * 60 + _col(seconds)
@@ -129,8 +135,5 @@ def zone_rank(zone_range: str | Column) -> Column:
 
 
 def effective_fg(fgm: Column, threes: Column, fga: Column) -> Column:
-    """(made + half the three-point attempts) / attempts.
-
-    Counts three-point attempts, not makes, as the tables this reproduces do.
-    """
+    """(made + half the threes) / attempts; which threes count is up to the caller."""
     return F.try_divide(fgm.cast("double") + F.lit(0.5) * threes, fga.cast("double"))

@@ -117,8 +117,9 @@ def label_streaks(
         return known.withColumn(name, streak_label(previous))
 
     share = (_number(known, order[0]) - F.col("_lo")) / F.col("_span") * F.col("_chunks")
-    chunk = F.least(F.floor(share), F.col("_chunks") - 1)
-    chunked = known.join(oversized, keys, "left").withColumn("_chunk", F.coalesce(chunk, F.lit(-1)))
+    # -1: the whole of a group that is not cut, and rows that sort first for want of an order value.
+    chunk = F.coalesce(F.least(F.floor(share), F.col("_chunks") - 1), F.lit(-1))
+    chunked = known.join(oversized, keys, "left").withColumn("_chunk", chunk)
     carried = _carried(
         known.select(*keys, *order, made).join(oversized, keys).withColumn("_chunk", chunk),
         keys, order, made, cap,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rimlight.functions import court
 from rimlight.functions.numeric import ratio
+from rimlight.session import cut_lineage
 from rimlight.sources.tables import in_seasons, known_results
 
 ZONE = ["zone_range", "name_zone"]
@@ -29,13 +30,20 @@ def _streak_sums(chosen: Column) -> list[Column]:
     ]
 
 
-def _base_sums() -> list[Column]:
+BASE_SUMS = ["rows", "made", "attempts", "points"]
+
+
+def _base_sums(chosen: Column | None = None) -> list[Column]:
     made = court.flag("is_shot_made")
+    values = [
+        F.lit(1),
+        made,
+        court.flag("is_shot_attempted"),
+        made * court.value_by_zone("zone_basic"),
+    ]
     return [
-        F.count(F.lit(1)).alias("base_rows"),
-        F.sum(made).alias("base_made"),
-        F.sum(court.flag("is_shot_attempted")).alias("base_attempts"),
-        F.sum(made * court.value_by_zone("zone_basic")).alias("base_points"),
+        F.sum(value if chosen is None else F.when(chosen, value)).alias(f"base_{name}")
+        for name, value in zip(BASE_SUMS, values, strict=True)
     ]
 
 
@@ -81,32 +89,40 @@ def zone_comparison(
     player: str | None = None,
     seasons: Iterable[str] | None = None,
     scope: str = "league",
+    others_only: bool = False,
 ) -> DataFrame:
     """Zone rates after ``streak`` next to the base rates.
 
     ``scope="league"``: the base is everybody's shots after the same streak (the player's own
-    included). ``scope="self"``: the player's shots whatever the streak. Without ``player`` the rows
-    of all players are given, with a ``shooter`` column.
+    included; ``others_only`` leaves them out). ``scope="self"``: the player's shots whatever the
+    streak. Without ``player`` the rows of all players are given, with a ``shooter`` column.
 
-    The streak shots are a subset of the base shots, so both come out of one scan and one shuffle;
-    only the all-player league table joins, on rows already aggregated to (shooter, zone).
+    The streak shots are a subset of the base shots, so both come out of one scan and one shuffle.
+    Only the all-player league table joins: its rows, down to one per (shooter, zone), are written to
+    the shared folder and read twice.
     """
     rows = known_results(shots.where(in_seasons(seasons)))
-    after = F.coalesce(F.col("streak_col") == streak, F.lit(False))
+    after = F.col("streak_col") == streak
     by = [] if player is not None else ["shooter"]
+    base = [f"base_{c}" for c in BASE_SUMS]
 
     if scope == "self":
         if player is not None:
             rows = rows.where(F.col("shooter") == player)
         sums = rows.groupBy(*by, *ZONE).agg(*_streak_sums(after), *_base_sums())
     elif scope == "league" and player is not None:
-        own = F.coalesce(F.col("shooter") == player, F.lit(False))
-        sums = rows.where(after).groupBy(*ZONE).agg(*_streak_sums(own), *_base_sums())
+        own = F.col("shooter") == player
+        others = ~F.coalesce(own, F.lit(False)) if others_only else None
+        sums = rows.where(after).groupBy(*ZONE).agg(*_streak_sums(own), *_base_sums(others))
     elif scope == "league":
-        mine = rows.where(after).groupBy(*by, *ZONE).agg(*_streak_sums(F.lit(True)), *_base_sums())
-        base = ["base_rows", "base_made", "base_attempts", "base_points"]
-        league = mine.groupBy(*ZONE).agg(*[F.sum(c).alias(c) for c in base])
-        sums = join_null_safe(mine.drop(*base), league, ZONE, "left")
+        mine = cut_lineage(
+            rows.where(after).groupBy(*by, *ZONE).agg(*_streak_sums(F.lit(True)), *_base_sums())
+        )
+        league = mine.groupBy(*ZONE).agg(*[F.sum(c).alias(f"all_{c}") for c in base])
+        own = F.col if others_only else lambda c: F.lit(0)
+        sums = join_null_safe(mine, league, ZONE, "left").withColumns(
+            {c: F.col(f"all_{c}") - own(c) for c in base}
+        )
     else:
         raise ValueError(f"unknown scope {scope!r}")
 

@@ -11,10 +11,17 @@ from rimlight.operators.percentiles import percentile_bands
 from rimlight.session import cut_lineage
 
 
-def coverage_table(enriched: DataFrame, streak: str, sort: bool = True) -> DataFrame:
+def coverage_table(
+    enriched: DataFrame,
+    streak: str,
+    sort: bool = True,
+    made_threes: bool = False,
+    fill: float | None = 0.0,
+) -> DataFrame:
     """Per player with shots after ``streak``: totals, effective FG% open and tight, difference.
 
-    A coverage without attempts counts as 0. One scan: everything is summed per (shooter, team,
+    Effective FG% adds half the three-point attempts, or half the makes with ``made_threes``. The
+    rate of a coverage without attempts is ``fill``. One scan: everything is summed per (shooter, team,
     game) before the shuffle, in fixed-width buffers, and those rows are folded to one per shooter,
     the team being that of the latest shot after the streak.
     """
@@ -23,6 +30,8 @@ def coverage_table(enriched: DataFrame, streak: str, sort: bool = True) -> DataF
     open_, tight = (F.coalesce(coverage == c, F.lit(False)) for c in ("Open", "Tight"))
     made, attempted = court.flag("is_shot_made"), court.flag("is_shot_attempted")
     three = F.coalesce(court.is_three("type_shot"), F.lit(False)).cast("int")
+    if made_threes:
+        three = three * made
     known = F.col("is_shot_made").isNotNull() & F.col("is_shot_attempted").isNotNull()
 
     sums: dict[str, Column] = {
@@ -53,7 +62,7 @@ def coverage_table(enriched: DataFrame, streak: str, sort: bool = True) -> DataF
 
     def efg(part: str) -> Column:
         value = court.effective_fg(*[F.col(f"{c}_{part}") for c in ("fgm", "threes", "fga")])
-        return F.when(F.col(f"n_{part}") == 0, F.lit(0.0)).otherwise(value)
+        return F.when(F.col(f"n_{part}") == 0, F.lit(fill).cast("double")).otherwise(value)
 
     def attempts(part: str) -> Column:
         return F.when(F.col(f"n_{part}") == 0, F.lit(0)).otherwise(F.col(f"fga_{part}"))

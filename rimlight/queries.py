@@ -26,7 +26,7 @@ from rimlight.plans.hexchart import chart_shots
 from rimlight.session import cut_lineage, scratch_path
 from rimlight.sources import game_logs, tables
 from rimlight.sources import tracking as tracking_io
-from rimlight.streaming.ingest import IngestPaths, ingest_games
+from rimlight.streaming.ingest import IngestPaths, ingest_games, ingested_shots
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -305,17 +305,17 @@ def _chart(df: DataFrame) -> DataFrame:
 
 @query("hex_chart")
 def hex_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _chart(hex_shot_chart(adapters.streak_shots(spark, sf_dir), STREAK, scope="league"))
+    return _chart(hex_shot_chart(adapters.stored_streak_shots(spark, sf_dir), STREAK, scope="league"))
 
 
 @query("hex_chart_self")
 def hex_chart_self(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _chart(hex_shot_chart(adapters.streak_shots(spark, sf_dir), STREAK, scope="self"))
+    return _chart(hex_shot_chart(adapters.stored_streak_shots(spark, sf_dir), STREAK, scope="self"))
 
 
 @query("hex_chart_player")
 def hex_chart_player(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shots = adapters.streak_shots(spark, sf_dir)
+    shots = adapters.stored_streak_shots(spark, sf_dir)
     return _chart(hex_shot_chart(shots, STREAK, PLAYER, scope="league"))
 
 
@@ -515,7 +515,7 @@ def ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
         files="*.txt",
     )
     stream.awaitTermination()
-    return _round6(tracking_io.read_enriched(spark, paths.enriched), "distance_to_shooter")
+    return _round6(ingested_shots(spark, paths), "distance_to_shooter")
 
 
 @query("extract_links")

@@ -5,14 +5,16 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from rimlight import schemas
 from rimlight.functions import court
 from rimlight.operators.flatten import flatten_tracking
 from rimlight.operators.gate import MAX_MISSING
 from rimlight.plans.enrich import enrich_games
 from rimlight.sources.game_logs import LOG_FILES, quarantined_logs, stream_game_logs, usable_logs
-from rimlight.sources.tracking import read_tracking, write_enriched, write_tracking
+from rimlight.sources.tracking import BATCH, latest_games, read_batches, write_batch
 
 
 @dataclass(frozen=True)
@@ -34,22 +36,28 @@ def ingest_batch(
     players: DataFrame,
     max_missing: int = MAX_MISSING,
     malformed: str = "skip_game",
-    write_mode: str = "replace_games",
     max_ball_dist: float = court.MAX_BALL_DISTANCE,
 ) -> None:
     """One batch of documents: flatten, enrich, gate, write.
 
-    The JSON is parsed once: the flattened rows go to Parquet under the batch's own folder, and the
-    enrichment reads them from there with pruned columns and pushed filters. A batch that runs
-    again after a failure overwrites its folders and replaces its games.
+    The flattened rows go to Parquet without a shuffle, and the enrichment reads them from there
+    with pruned columns and pushed filters instead of parsing the JSON again. Each output has a
+    folder per batch: a batch that runs again after a failure overwrites its own.
     """
-    spark = docs.sparkSession
-    quarantined_logs(docs).write.mode("overwrite").parquet(f"{paths.quarantine}/batch={batch_id}")
-    tracking_path = f"{paths.tracking}/batch={batch_id}"
-    write_tracking(flatten_tracking(usable_logs(docs, malformed)), tracking_path)
-    tracking = read_tracking(spark, tracking_path)
+    write_batch(quarantined_logs(docs), paths.quarantine, batch_id)
+    write_batch(flatten_tracking(usable_logs(docs, malformed)), paths.tracking, batch_id)
+    tracking = (
+        read_batches(docs.sparkSession, paths.tracking, schemas.TRACKING)
+        .where(F.col(BATCH) == batch_id)
+        .drop(BATCH)
+    )
     enriched = enrich_games(tracking, shots, players, max_missing, max_ball_dist=max_ball_dist)
-    write_enriched(enriched, paths.enriched, write_mode)
+    write_batch(enriched, paths.enriched, batch_id)
+
+
+def ingested_shots(spark: SparkSession, paths: IngestPaths) -> DataFrame:
+    """The enriched shots ingested so far, each game from the last batch that had it."""
+    return latest_games(read_batches(spark, paths.enriched))
 
 
 def ingest_games(
