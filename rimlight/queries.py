@@ -503,7 +503,6 @@ def ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
         source=adapters.write_game_logs(spark, sf_dir),
         tracking=f"{root}/tracking",
         enriched=f"{root}/enriched",
-        quarantine=f"{root}/quarantine",
         checkpoint=f"{root}/checkpoint",
     )
     stream = ingest_games(

@@ -48,6 +48,9 @@ TRACKING = _struct(
     entity_pos=_INT,
 )
 
+# Tracking rows as ingested, among them one for each document that could not be flattened.
+MARKED_TRACKING = StructType([*_struct(source_file=_STR, problem=_STR).fields, *TRACKING.fields])
+
 # One row per (game_id, event_id).
 SHOTS = _struct(
     game_id=_STR,

@@ -10,11 +10,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from rimlight import schemas
 from rimlight.functions import court
-from rimlight.operators.flatten import flatten_tracking
+from rimlight.operators.flatten import flatten_marked
 from rimlight.operators.gate import MAX_MISSING
 from rimlight.plans.enrich import enrich_games
-from rimlight.sources.game_logs import LOG_FILES, quarantined_logs, stream_game_logs, usable_logs
-from rimlight.sources.tracking import BATCH, latest_games, read_batches, write_batch
+from rimlight.sources.game_logs import LOG_FILES, marked_logs, stream_game_logs
+from rimlight.sources.tracking import BATCH, latest_games, read_batch, read_batches, write_batch
 
 
 @dataclass(frozen=True)
@@ -24,7 +24,6 @@ class IngestPaths:
     source: str
     tracking: str
     enriched: str
-    quarantine: str
     checkpoint: str
 
 
@@ -40,21 +39,26 @@ def ingest_batch(
 ) -> None:
     """One batch of documents: flatten, enrich, gate, write.
 
-    The flattened rows go to Parquet without a shuffle, and the enrichment reads them from there
-    with pruned columns and pushed filters instead of parsing the JSON again. Each output has a
-    folder per batch: a batch that runs again after a failure overwrites its own.
+    The JSON is parsed once: the flattened rows go to Parquet without a shuffle, and the enrichment
+    reads them from there with pruned columns and pushed filters. Each output has a folder per
+    batch: a batch that runs again after a failure overwrites its own.
     """
-    write_batch(quarantined_logs(docs), paths.quarantine, batch_id)
-    write_batch(flatten_tracking(usable_logs(docs, malformed)), paths.tracking, batch_id)
+    write_batch(flatten_marked(marked_logs(docs, malformed)), paths.tracking, batch_id)
     tracking = (
-        read_batches(docs.sparkSession, paths.tracking, schemas.TRACKING)
-        .where(F.col(BATCH) == batch_id)
-        .drop(BATCH)
+        read_batch(docs.sparkSession, paths.tracking, batch_id, schemas.MARKED_TRACKING)
+        .where(F.col("problem").isNull())
+        .select(*schemas.TRACKING.names)
     )
     enriched = enrich_games(tracking, shots, players, max_missing, max_ball_dist=max_ball_dist)
     write_batch(enriched, paths.enriched, batch_id)
 
 
+def quarantine(spark: SparkSession, paths: IngestPaths) -> DataFrame:
+    """The documents ingested so far that could not be flattened, and why."""
+    rows = read_batches(spark, paths.tracking, schemas.MARKED_TRACKING)
+    return rows.where(F.col("problem").isNotNull()).select(BATCH, "game_id", "source_file", "problem")
+
+
 def ingested_shots(spark: SparkSession, paths: IngestPaths) -> DataFrame:
     """The enriched shots ingested so far, each game from the last batch that had it."""
     return latest_games(read_batches(spark, paths.enriched))
