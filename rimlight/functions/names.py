@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 def snake_name(name: str) -> str:
     """``yearSeasonLast`` -> ``year_season_last``, ``FG % (Open)`` -> ``fg_percent_open``."""
     text = name.replace("%", " percent ").replace("#", " number ")
-    text = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", text)
-    text = re.sub(r"([A-Z]+)([A-Z][a-z])", r"\1_\2", text)
+    text = re.sub(r"([a-z])([A-Z])", r"\1_\2", text)
+    text = re.sub(r"([A-Z0-9]+)([A-Z][a-z])", r"\1_\2", text)
     text = re.sub(r"[^0-9A-Za-z]+", "_", text).strip("_").lower()
     return f"x{text}" if text[:1].isdigit() or not text else text
 
