@@ -16,17 +16,34 @@ MAX_BUCKET_VALUES = 1_000_000
 MAX_BUCKETS = 10_000
 
 
-def _bucketed(counts: DataFrame, max_values: int) -> DataFrame:
+def _buckets(counts: DataFrame, max_values: int) -> DataFrame:
     """``counts`` with a bucket that grows with the value, of about equal numbers of rows."""
     distinct = counts.count()
-    parts = min(math.ceil(distinct / max_values), MAX_BUCKETS)
-    if parts <= 1:
-        return counts.withColumn("bucket", F.lit(0.0))
-    cuts = counts.approxQuantile("value", [k / parts for k in range(1, parts)], 0.25 / parts)
-    splits = [-math.inf, *sorted(set(cuts)), math.inf]
+    parts = min(max(math.ceil(distinct / max_values), 2), MAX_BUCKETS)
+    places = [k / parts for k in range(1, parts)]
+    cuts = set(counts.approxQuantile("value", places, 0.25 / parts)) if distinct else {0.0}
+    splits = [-math.inf, *sorted(cuts - {-math.inf, math.inf}), math.inf]
+    if len(splits) == 2:
+        return counts.withColumn("bucket", F.when(F.col("value").isNotNull(), 0.0))
     return Bucketizer(splits=splits, inputCol="value", outputCol="bucket").transform(counts)
 
 
+def _offsets(buckets: DataFrame) -> DataFrame:
+    """Per bucket the count of the values in the buckets below, and of all values.
+
+    At most MAX_BUCKETS rows: few enough for one task and for a broadcast.
+    """
+    ordered = Window.orderBy("bucket")
+    below = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    everything = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sums = buckets.groupBy("bucket").agg(F.sum("n_value").alias("n_bucket"))
+    return sums.select(
+        "bucket",
+        F.coalesce(F.sum("n_bucket").over(below), F.lit(0)).alias("offset"),
+        F.sum("n_bucket").over(everything).alias("n"),
+    )
+
+
 def _position(step: Column, n: Column, steps: int) -> Column:
     """One-based fractional rank of a percentile."""
     return F.lit(1.0) + (n - 1).cast("double") * (step.cast("double") * F.lit(1.0 / steps))
@@ -48,23 +65,11 @@ def percentile_breaks(
         .groupBy("value")
         .agg(F.count(F.lit(1)).alias("n_value"))
     )
-    bucketed = _bucketed(counts, max_bucket_values)
-    # At most MAX_BUCKETS rows: small enough for one task and for a broadcast.
-    below = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    offsets = (
-        bucketed.groupBy("bucket")
-        .agg(F.sum("n_value").alias("n_bucket"))
-        .select(
-            "bucket",
-            F.coalesce(F.sum("n_bucket").over(below), F.lit(0)).alias("offset"),
-            F.sum("n_bucket").over(everything).alias("n"),
-        )
-    )
+    buckets = _buckets(counts, max_bucket_values)
     running = Window.partitionBy("bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     ranked = (
-        bucketed.withColumn("upto", F.sum("n_value").over(running))
-        .join(F.broadcast(offsets), "bucket")
+        buckets.withColumn("upto", F.sum("n_value").over(running))
+        .join(F.broadcast(_offsets(buckets)), "bucket")
         .select("value", "n", (F.col("offset") + F.col("upto")).alias("last"), "n_value")
         .withColumn("first", F.col("last") - F.col("n_value") + 1)
     )

@@ -17,6 +17,7 @@ def spark(tmp_path_factory):
         spark__sql__shuffle__partitions="4",
         spark__checkpoint__dir="file://" + str(tmp_path_factory.mktemp("shared")),
         spark__driver__memory="4g",
+        spark__sql__maxMetadataStringLength="1000",
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

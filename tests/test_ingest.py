@@ -1,0 +1,102 @@
+import json
+import random
+
+import pytest
+
+from rimlight import schemas
+from rimlight.operators.flatten import flatten_tracking
+from rimlight.plans import enrich_games
+from rimlight.sources.game_logs import read_game_logs, usable_logs
+from rimlight.sources.tracking import read_batches
+from rimlight.streaming.ingest import IngestPaths, ingest_batch, ingest_games, ingested_shots, quarantine
+
+EVENTS = range(1, 13)
+
+
+def game_log(game, rng):
+    events = []
+    for event in EVENTS:
+        moments = []
+        for n in range(8):
+            places = [[-1, -1, 20.0 + n, 10.0, 3.0], [10, 1, 20.0 + n + rng.choice([0, 1, 3]), 10.0, 0.0]]
+            places += [[20, p, rng.uniform(0, 40), rng.uniform(0, 50), 0.0] for p in (2, 3)]
+            moments.append([1, 0, 110.0 - n, None, None, places])
+        events.append({"eventId": str(event), "moments": moments})
+    return json.dumps({"gamedate": "2016-01-01", "gameid": game, "events": events})
+
+
+@pytest.fixture
+def setup(spark, tmp_path):
+    rng = random.Random(2)
+    logs = {f"00215000{n:02d}": game_log(f"00215000{n:02d}", rng) for n in range(1, 5)}
+    shots = [
+        (game[2:], e, "Ann", "T", 1, 40, "e", "a", "2PT Field Goal", "Mid-Range", "C", "8-16 ft.", 9.0, True,
+         e % 2 == 0, None)
+        for game in logs
+        for e in (EVENTS if game != "0021500004" else range(1, 60))
+    ]
+    paths = IngestPaths(*[str(tmp_path / p) for p in ("logs", "tracking", "enriched", "checkpoint")])
+    (tmp_path / "logs").mkdir()
+    return (
+        logs,
+        tmp_path / "logs",
+        paths,
+        spark.createDataFrame(shots, schemas.SHOTS),
+        spark.createDataFrame([(1, "Ann", 2016, ""), (2, "Bob", 2016, ""), (3, "Cat", 2016, "")], schemas.PLAYERS),
+    )
+
+
+def rows(df):
+    return sorted(map(str, df.select(*schemas.ENRICHED.names).collect()))
+
+
+def test_files_one_by_one_equal_all_at_once(spark, setup):
+    logs, folder, paths, shots, players = setup
+    for game, text in logs.items():
+        (folder / f"{game}.json").write_text(text)
+        ingest_games(spark, paths, shots, players).awaitTermination()
+    (folder / "0021500009.json").write_text("{broken")
+    ingest_games(spark, paths, shots, players).awaitTermination()
+    docs = read_game_logs(spark, str(folder))
+    batch = enrich_games(flatten_tracking(usable_logs(docs)), shots, players)
+    streamed = ingested_shots(spark, paths)
+    assert rows(streamed) == rows(batch) != []
+    # Game 4 has too many shots without tracking.
+    assert {r.game_id for r in streamed.collect()} == {21500001, 21500002, 21500003}
+    (bad,) = quarantine(spark, paths).collect()
+    assert bad.problem == "corrupt document" and bad.source_file.endswith("0021500009.json")
+
+
+def test_seen_files_are_not_read_again(spark, setup):
+    logs, folder, paths, shots, players = setup
+    for game, text in logs.items():
+        (folder / f"{game}.json").write_text(text)
+    ingest_games(spark, paths, shots, players, max_files=2).awaitTermination()
+    first = rows(ingested_shots(spark, paths))
+    ingest_games(spark, paths, shots, players).awaitTermination()
+    assert rows(ingested_shots(spark, paths)) == first
+    assert read_batches(spark, paths.enriched).select("batch").distinct().count() == 2
+
+
+def test_a_batch_run_again_and_a_game_sent_again_count_once(spark, setup):
+    logs, folder, paths, shots, players = setup
+    for game, text in logs.items():
+        (folder / f"{game}.json").write_text(text)
+    docs = read_game_logs(spark, str(folder))
+    ingest_batch(docs, 0, paths, shots, players)
+    first = rows(ingested_shots(spark, paths))
+    ingest_batch(docs, 0, paths, shots, players)
+    assert rows(ingested_shots(spark, paths)) == first
+    ingest_batch(docs.where("game_id = '0021500002'"), 1, paths, shots, players)
+    assert rows(ingested_shots(spark, paths)) == first
+
+
+def test_consumed_files_can_be_removed(spark, setup):
+    logs, folder, paths, shots, players = setup
+    names = list(logs)
+    for game in names[:3]:
+        (folder / f"{game}.json").write_text(logs[game])
+        ingest_games(spark, paths, shots, players, clean_source="delete").awaitTermination()
+    left = {p.name for p in folder.glob("*.json")}
+    assert f"{names[0]}.json" not in left and f"{names[2]}.json" in left
+    assert ingested_shots(spark, paths).select("game_id").distinct().count() == 3
