@@ -44,9 +44,15 @@ def streak_or_zero(streak: str | Column = "streak_col") -> Column:
 
 
 def _number(df: DataFrame, name: str) -> Column:
-    dtype = df.schema[name].dataType
-    if isinstance(dtype, (TimestampType, TimestampNTZType)):
-        return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
+    """The order column as a double that grows with it."""
+    dtype, value = df.schema[name].dataType, F.col(name)
+    if isinstance(dtype, TimestampType):
+        return F.unix_micros(value).cast("double")
+    if isinstance(dtype, TimestampNTZType):
+        # By its parts: a cast to an instant would depend on the time zone and its clock changes.
+        days = F.unix_date(value.cast("date")).cast("double")
+        minutes = (days * 24 + F.hour(value)) * 60 + F.minute(value)
+        return minutes * 60 + F.extract(F.lit("SECOND"), value).cast("double")
     if isinstance(dtype, DateType):
         return F.unix_date(name).cast("double")
     if isinstance(dtype, NumericType):
@@ -93,22 +99,23 @@ def _carried(chunked: DataFrame, keys: Sequence[str], order: Sequence[str], made
 def label_streaks(
     shots: DataFrame,
     shooter: str = "shooter",
-    order: Sequence[str] = ("game_clock_order", "event_id"),
+    order: Sequence[str] = ("event_id",),
     made: str = "is_shot_made",
     reset: Sequence[str] = ("game_id",),
     cap: int = RUN_CAP,
     max_group_rows: int = MAX_GROUP_ROWS,
     name: str = "streak_col",
 ) -> DataFrame:
-    """``shots`` with a known result, with the label of the run that ends before each shot.
+    """``shots`` with the label of the run that ends before each shot.
 
-    Runs restart with each value of ``reset``; the first shot has a null label. A label depends on
+    Shots without a known result, shooter or reset value belong to no run and are left out. Runs
+    restart with each value of ``reset``; the first shot has a null label. A label depends on
     the last ``cap`` results only, so a group with more than ``max_group_rows`` rows is cut along
     the leading order column, each chunk is labelled on its own, and the results just before it are
     carried in from the chunks before. The labels are those of the uncut group.
     """
     keys = [shooter, *reset]
-    known = shots.where(F.col(made).isNotNull())
+    known = shots.dropna(subset=[made, *keys])
     oversized = _oversized(known, keys, _number(known, order[0]), max_group_rows)
 
     if oversized is None:
