@@ -126,7 +126,10 @@ def label_streaks(
     share = (_number(known, order[0]) - F.col("_lo")) / F.col("_span") * F.col("_chunks")
     # -1: the whole of a group that is not cut, and rows that sort first for want of an order value.
     chunk = F.when(share.isNull(), -1).otherwise(F.least(F.floor(share), F.col("_chunks") - 1))
-    chunked = known.join(oversized, keys, "left").withColumn("_chunk", chunk)
+    # Partitioned by hand: a join on the keys would leave all chunks of a group in one task.
+    chunked = (
+        known.join(oversized, keys, "left").withColumn("_chunk", chunk).repartition(*keys, "_chunk")
+    )
     carried = _carried(
         known.select(*keys, *order, made).join(oversized, keys).withColumn("_chunk", chunk),
         keys, order, made, cap,

@@ -481,8 +481,9 @@ ORACLE_SQL: dict[str, str] = {
     "hex_chart": _chart("league"),
     "hex_chart_self": _chart("self"),
     "hex_chart_player": _chart("league", player=True),
-    "chart_rows": f"""WITH {STREAKS} SELECT shooter, {ZONE}, loc_x, loc_y, made, points FROM ss
-        WHERE streak_col = '{STREAK}'""",
+    "chart_rows": f"""WITH {STREAKS} SELECT shooter, {ZONE}, loc_x, loc_y, count(*) AS attempts,
+        CAST(sum(made) AS BIGINT) AS made, CAST(sum(points) AS BIGINT) AS points FROM ss
+        WHERE streak_col = '{STREAK}' GROUP BY shooter, {ZONE}, loc_x, loc_y""",
     # Coverage and percentiles
     "coverage_table": f"{COVERAGE} SELECT * FROM coverage_rows",
     "coverage_totals": f"""WITH {COVERED} SELECT shooter, count(*) AS total_fga,

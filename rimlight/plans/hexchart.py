@@ -22,18 +22,28 @@ POINTS_RANGE = (0.5, 1.5)
 def chart_shots(
     shots: DataFrame, streak: str, player: str | None = None, seasons: Iterable[str] | None = None
 ) -> DataFrame:
-    """The shots of a chart: court coordinates in feet, made flag, points."""
+    """The shots of a chart: attempts, makes and points per player, zone and location in feet.
+
+    Locations are whole tenths of a foot, so counting equal ones before the shuffle bounds the rows
+    of any player by the points of the court.
+    """
     rows = shots.where(in_seasons(seasons) & (F.col("streak_col") == streak))
     if player is not None:
         rows = rows.where(F.col("shooter") == player)
     made = court.flag("is_shot_made")
-    return known_results(rows).select(
+    counts = known_results(rows).groupBy("shooter", *ZONE, "location_x", "location_y").agg(
+        F.count(F.lit(1)).alias("attempts"),
+        F.sum(made).alias("made"),
+        F.sum(made * court.value_by_type("type_shot")).alias("points"),
+    )
+    return counts.select(
         "shooter",
         *ZONE,
         court.court_x("location_x").alias("loc_x"),
         court.court_y("location_y").alias("loc_y"),
-        made.alias("made"),
-        (made * court.value_by_type("type_shot")).alias("points"),
+        "attempts",
+        "made",
+        "points",
     )
 
 
@@ -49,10 +59,11 @@ def hex_shot_chart(
 
     The lattice is anchored to each player's own shots. ``adj_x`` and ``adj_y`` are the corner
     drawn toward the centre by ``radius_factor``, x mirrored. No shots give no rows. Without
-    ``player``, the charts of all players.
+    ``player``, the charts of all players. ``shots`` is scanned once for the cells and once for the
+    zones; after the first shuffle all groups are bounded by the points or cells of the court.
     """
     cells = with_hex_cell(
-        chart_shots(shots, streak, player, seasons), width=width, by=["shooter"]
+        chart_shots(shots, streak, player, seasons), width=width, by=["shooter"], few_rows=True
     )
     zones = zone_comparison(shots, streak, player, seasons, scope)
     keys = ZONE if player is not None else ["shooter", *ZONE]

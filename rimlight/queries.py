@@ -241,6 +241,7 @@ def _located(spark: SparkSession, sf_dir: str) -> DataFrame:
         "name_zone",
         court.court_x("location_x").alias("loc_x"),
         court.court_y("location_y").alias("loc_y"),
+        F.lit(1).alias("attempts"),
         made.alias("made"),
         (made * court.value_by_type("type_shot")).alias("points"),
     )

@@ -8,13 +8,13 @@ from rimlight import schemas
 from rimlight.operators.hexbin import HEX, hex_stats, hex_vertices, with_hex_cell
 from rimlight.plans import hex_shot_chart
 
-POINT = "p string, loc_x double, loc_y double, made int, points int, zone_range string, name_zone string"
+POINT = "p string, loc_x double, loc_y double, attempts int, made int, points int, zone_range string, name_zone string"
 
 
 def points(spark, n=2000, seed=1):
     rng = random.Random(seed)
     rows = [
-        (rng.choice("aab"), rng.uniform(-25, 25), rng.uniform(0, 47), rng.randrange(2), 2,
+        (rng.choice("aab"), rng.uniform(-25, 25), rng.uniform(0, 47), 1, rng.randrange(2), 2,
          rng.choice(["near", "far", None]), rng.choice(["L", "R"]))
         for _ in range(n)
     ]
@@ -53,10 +53,12 @@ def test_groups_have_anchors_of_their_own(spark):
         alone = with_hex_cell(df.where(F.col("p") == p))
         apart |= {(r.p, r.x0, r.y0, r.lat, r.j, r.i) for r in alone.collect()}
     assert together == apart
+    windowed = with_hex_cell(df, by=["p"], few_rows=True).collect()
+    assert {(r.p, r.x0, r.y0, r.lat, r.j, r.i) for r in windowed} == apart
 
 
 def test_fixed_origin_and_missing_location(spark):
-    df = spark.createDataFrame([("a", 0.1, 0.1, 1, 2, "n", "C"), ("a", None, 1.0, 1, 2, "n", "C")], POINT)
+    df = spark.createDataFrame([("a", 0.1, 0.1, 1, 1, 2, "n", "C"), ("a", None, 1.0, 1, 1, 2, "n", "C")], POINT)
     (row,) = with_hex_cell(df, origin=(0.0, 0.0)).collect()
     assert (row.lat, row.j, row.i) == (0, 0, 0)
 
