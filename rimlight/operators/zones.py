@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rimlight.functions import court
+from rimlight.functions.joins import join_null_safe
 from rimlight.functions.numeric import ratio
 from rimlight.session import cut_lineage
 from rimlight.sources.tables import in_seasons, known_results
@@ -76,13 +77,6 @@ def base_zone_stats(shots: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return sums.select(*by, *ZONE, *_base_rates())
 
 
-def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    """Equi join in which null keys match; the left side's keys are kept."""
-    renamed = right.withColumnsRenamed({k: f"_{k}" for k in keys})
-    condition = [left[k].eqNullSafe(renamed[f"_{k}"]) for k in keys]
-    return left.join(renamed, condition, how).drop(*[f"_{k}" for k in keys])
-
-
 def zone_comparison(
     shots: DataFrame,
     streak: str,

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rimlight.functions import court, hexgrid
+from rimlight.functions.joins import join_null_safe
 from rimlight.functions.numeric import clamp
 from rimlight.operators.hexbin import hex_stats, hex_vertices, with_hex_cell
-from rimlight.operators.zones import ZONE, join_null_safe, zone_comparison
+from rimlight.operators.zones import ZONE, zone_comparison
 from rimlight.sources.tables import in_seasons, known_results
 
 # Ranges of the colour scales.

@@ -12,7 +12,8 @@ from rimlight import schemas
 from rimlight.functions import court
 from rimlight.operators.flatten import flatten_marked
 from rimlight.operators.gate import MAX_MISSING
-from rimlight.plans.enrich import enrich_games
+from rimlight.plans.enrich import enrich_games, numeric_shots
+from rimlight.session import cut_lineage
 from rimlight.sources.game_logs import LOG_FILES, marked_logs, stream_game_logs
 from rimlight.sources.tracking import BATCH, latest_games, read_batch, read_batches, write_batch
 
@@ -40,8 +41,10 @@ def ingest_batch(
     """One batch of documents: flatten, enrich, gate, write.
 
     The JSON is parsed once: the flattened rows go to Parquet without a shuffle, and the enrichment
-    reads them from there with pruned columns and pushed filters. Each output has a folder per
-    batch: a batch that runs again after a failure overwrites its own.
+    reads them from there with pruned columns and pushed filters. Only the shots of the batch's
+    games take part: with batches of up to a few thousand games they are broadcast, and no tracking
+    rows but the ball's are shuffled. Each output has a folder per batch: a batch that runs again
+    after a failure overwrites its own.
     """
     write_batch(flatten_marked(marked_logs(docs, malformed)), paths.tracking, batch_id)
     tracking = (
@@ -49,7 +52,9 @@ def ingest_batch(
         .where(F.col("problem").isNull())
         .select(*schemas.TRACKING.names)
     )
-    enriched = enrich_games(tracking, shots, players, max_missing, max_ball_dist=max_ball_dist)
+    games = tracking.select(court.game_key("game_id").alias("game_id")).distinct()
+    batch_shots = cut_lineage(numeric_shots(shots).join(games, "game_id", "left_semi"))
+    enriched = enrich_games(tracking, batch_shots, players, max_missing, max_ball_dist=max_ball_dist)
     write_batch(enriched, paths.enriched, batch_id)
 
 
