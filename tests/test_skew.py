@@ -8,6 +8,7 @@ from parity import TABLES, compare, connect
 from pyspark.sql import functions as F
 
 from rimlight import adapters
+from rimlight.operators import tracking
 from rimlight.operators.streaks import label_streaks
 from rimlight.oracle import ORACLE_SQL
 from rimlight.queries import QUERIES
@@ -42,6 +43,7 @@ def skewed(tmp_path_factory):
 def hot_settings(spark, monkeypatch):
     """Small chunks, no broadcasts, and skewed partitions split from a few KB on."""
     monkeypatch.setattr(adapters, "label_streaks", partial(label_streaks, max_group_rows=200))
+    monkeypatch.setattr(tracking, "fits_broadcast", lambda df: False)
     keys = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
