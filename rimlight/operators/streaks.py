@@ -6,7 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
+from pyspark.sql.types import (
+    DateType,
+    IntegralType,
+    NumericType,
+    TimestampNTZType,
+    TimestampType,
+)
 
 from rimlight.session import cut_lineage
 
@@ -16,7 +22,7 @@ NO_STREAK = "0"
 
 # Rows of one group that a single task sorts; a larger group is cut into chunks.
 MAX_GROUP_ROWS = 5_000_000
-# Chunks are equal in time, not in rows; extra ones keep busy stretches small.
+# Chunks are equal in their range of order values, not in rows; extra ones keep busy stretches small.
 CHUNKS_PER_SHARE = 8
 # Oversized groups up to this many go out as a broadcast table (a key and three numbers each).
 MAX_BROADCAST_GROUPS = 100_000
@@ -43,40 +49,70 @@ def streak_or_zero(streak: str | Column = "streak_col") -> Column:
     return F.coalesce(F.col(streak) if isinstance(streak, str) else streak, F.lit(NO_STREAK))
 
 
-def _number(df: DataFrame, name: str) -> Column:
-    """The order column as a double that grows with it."""
+def _whole_number(df: DataFrame, name: str) -> Column | None:
+    """The column as a bigint that grows with it: whole numbers, days, microseconds."""
     dtype, value = df.schema[name].dataType, F.col(name)
+    if isinstance(dtype, IntegralType):
+        return value.cast("bigint")
+    if isinstance(dtype, DateType):
+        return F.unix_date(value).cast("bigint")
     if isinstance(dtype, TimestampType):
-        return F.unix_micros(value).cast("double")
+        return F.unix_micros(value)
     if isinstance(dtype, TimestampNTZType):
         # By its parts: a cast to an instant would depend on the time zone and its clock changes.
-        days = F.unix_date(value.cast("date")).cast("double")
+        days = F.unix_date(value.cast("date")).cast("bigint")
         minutes = (days * 24 + F.hour(value)) * 60 + F.minute(value)
-        return minutes * 60 + F.extract(F.lit("SECOND"), value).cast("double")
-    if isinstance(dtype, DateType):
-        return F.unix_date(name).cast("double")
-    if isinstance(dtype, NumericType):
-        return F.col(name).cast("double")
-    raise TypeError(f"order column {name!r} must start with a number, date or timestamp")
+        return minutes * 60_000_000 + (F.extract(F.lit("SECOND"), value) * 1_000_000).cast("bigint")
+    return None
+
 
+def _oversized(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], max_rows: int
+) -> tuple[DataFrame, Column] | None:
+    """Groups over ``max_rows`` and the chunk of each of their rows; nothing if there are none.
+
+    The chunk is the row's share of the group's range of the first order column, with ties spread by
+    the second. It never falls along the order, and equal rows share it.
+    """
+    lead, step, second = _whole_number(df, order[0]), F.lit(1), None
+    if lead is not None and len(order) > 1:
+        second = _whole_number(df, order[1])
+    if lead is None:
+        if not isinstance(df.schema[order[0]].dataType, NumericType):
+            raise TypeError(f"order column {order[0]!r} must be a number, date or timestamp")
+        lead, step = F.col(order[0]).cast("double"), F.lit(1e-9)
+    if second is None:
+        second = F.lit(0).cast("bigint")
 
-def _oversized(df: DataFrame, keys: Sequence[str], lead: Column, max_rows: int) -> DataFrame | None:
-    """Groups over ``max_rows``: range of the leading order column and number of chunks."""
     groups = (
         df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(lead).alias("_lo"), F.max(lead).alias("_hi"))
+        .agg(
+            F.count(F.lit(1)).alias("_n"),
+            F.min(lead).alias("_lo"),
+            F.max(lead).alias("_hi"),
+            F.min(second).alias("_lo2"),
+            F.max(second).alias("_hi2"),
+        )
         .where(F.col("_n") > max_rows)
         .select(
             *keys,
             "_lo",
-            F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-9)).alias("_span"),
+            "_lo2",
+            (F.col("_hi") - F.col("_lo") + step).cast("double").alias("_span"),
+            (F.col("_hi2") - F.col("_lo2") + 1).cast("double").alias("_span2"),
             (F.ceil(F.col("_n") / F.lit(max_rows)) * CHUNKS_PER_SHARE).alias("_chunks"),
         )
     )
     if groups.isEmpty():
         return None
     groups = cut_lineage(groups)
-    return F.broadcast(groups) if groups.count() <= MAX_BROADCAST_GROUPS else groups
+    if groups.count() <= MAX_BROADCAST_GROUPS:
+        groups = F.broadcast(groups)
+    tie = F.coalesce((second - F.col("_lo2")) / F.col("_span2"), F.lit(0.0))
+    share = ((lead - F.col("_lo")).cast("double") + tie) / F.col("_span") * F.col("_chunks")
+    # -1: the whole of a group that is not cut, and rows that sort first for want of an order value.
+    chunk = F.when(share.isNull(), -1).otherwise(F.least(F.floor(share), F.col("_chunks") - 1))
+    return groups, chunk
 
 
 def _carried(chunked: DataFrame, keys: Sequence[str], order: Sequence[str], made: str, cap: int) -> DataFrame:
@@ -116,16 +152,14 @@ def label_streaks(
     """
     keys = [shooter, *reset]
     known = shots.dropna(subset=[made, *keys])
-    oversized = _oversized(known, keys, _number(known, order[0]), max_group_rows)
+    found = _oversized(known, keys, order, max_group_rows)
 
-    if oversized is None:
+    if found is None:
         in_order = Window.partitionBy(*keys).orderBy(*order)
         previous = [F.lag(made, k).over(in_order) for k in range(1, cap + 1)]
         return known.withColumn(name, streak_label(previous))
 
-    share = (_number(known, order[0]) - F.col("_lo")) / F.col("_span") * F.col("_chunks")
-    # -1: the whole of a group that is not cut, and rows that sort first for want of an order value.
-    chunk = F.when(share.isNull(), -1).otherwise(F.least(F.floor(share), F.col("_chunks") - 1))
+    oversized, chunk = found
     # Partitioned by hand: a join on the keys would leave all chunks of a group in one task.
     chunked = (
         known.join(oversized, keys, "left").withColumn("_chunk", chunk).repartition(*keys, "_chunk")

@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from rimlight.operators import streaks
 from rimlight.operators.streaks import label_streaks, streak_or_zero
 
 SCHEMA = "shooter string, game_id int, ts timestamp, event_id long, is_shot_made boolean"
@@ -100,3 +101,38 @@ def test_stored_form(spark):
     df = spark.createDataFrame([(None,), ("1 Make",)], "streak_col string")
     assert [r[0] for r in df.select(streak_or_zero()).collect()] == ["0", "1 Make"]
     assert df.where(F.col("streak_col").isNull()).count() == 1
+
+
+@pytest.mark.parametrize("dtype", ["timestamp", "timestamp_ntz", "date", "int", "double"])
+def test_ties_in_the_leading_column(spark, dtype):
+    """All rows of the hot shooter in few order values: ties are cut by the event."""
+    rows = shots(8, 400)
+    lead = {
+        "timestamp": F.date_trunc("week", "ts"),
+        "timestamp_ntz": F.date_trunc("hour", "ts").cast("timestamp_ntz"),
+        "date": F.to_date("ts"),
+        "int": F.dayofmonth("ts"),
+        "double": F.hour("ts") / 7,
+    }[dtype]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("lead", lead)
+    whole = label_streaks(df, order=("lead", "event_id"), reset=())
+    assert df.schema["lead"].dataType.simpleString() == dtype
+    for max_rows in (40, 5):
+        cut = label_streaks(df, order=("lead", "event_id"), reset=(), max_group_rows=max_rows)
+        assert labels(cut) == labels(whole)
+
+
+def test_equal_lead_is_cut_by_the_second_column(spark):
+    start = datetime(2024, 1, 1)
+    df = spark.createDataFrame([("a", 1, start, i, i % 3 == 0) for i in range(100)], SCHEMA)
+    groups, chunk = streaks._oversized(df, ["shooter"], ["ts", "event_id"], 10)
+    sizes = df.join(groups, "shooter").groupBy(chunk.alias("c")).count().collect()
+    assert len(sizes) >= 10 and max(r["count"] for r in sizes) <= 10
+
+
+def test_microseconds_are_kept_apart(spark):
+    rows = [("a", 1, datetime(2024, 3, 31, 2, 30, 0, i), 99 - i, i % 3 == 0) for i in range(60)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    whole = label_streaks(df, order=("ts", "event_id"))
+    cut = label_streaks(df, order=("ts", "event_id"), max_group_rows=4)
+    assert labels(cut) == labels(whole)
