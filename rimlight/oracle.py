@@ -420,6 +420,8 @@ ORACLE_SQL: dict[str, str] = {
         WHERE shooter = '{PLAYER}' AND slug_season IN ({SEASON_LIST}) AND streak_col = '{STREAK}'""",
     "league_streak_scan": f"""WITH {STREAKS} SELECT is_shot_attempted, is_shot_made, zone_basic, zone_range,
         name_zone FROM ss WHERE slug_season IN ({SEASON_LIST}) AND streak_col = '{STREAK}'""",
+    "season_table_scan": f"""WITH {STREAKS} SELECT is_shot_attempted, is_shot_made, zone_basic, zone_range,
+        name_zone FROM ss WHERE slug_season IN ({SEASON_LIST}) AND streak_col = '{STREAK}'""",
     "player_base_scan": f"""WITH {STREAKS} SELECT event_id, slug_season, is_shot_made, zone_basic, zone_range,
         name_zone FROM ss WHERE shooter = '{PLAYER}'""",
     "coverage_scan": f"""WITH {COVERED} SELECT shooter, shooter_team_name, streak_col, type_shot, zone_basic,

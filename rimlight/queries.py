@@ -97,6 +97,13 @@ def player_base_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("season_table_scan")
+def season_table_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "seasons")
+    tables.write_streak_shots(adapters.streak_shots(spark, sf_dir), path)
+    return tables.league_streak_shots(tables.read_streak_shots(spark, path), SEASONS, STREAK)
+
+
 @query("coverage_scan")
 def coverage_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.coverage_shots(adapters.covered_shots(spark, sf_dir), STREAK)

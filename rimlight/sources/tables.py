@@ -29,6 +29,17 @@ def read_streak_shots(spark: SparkSession, source: str, fmt: str = "parquet", **
     return read_table(spark, source, schemas.STREAK_SHOTS, fmt, **options)
 
 
+def write_streak_shots(shots: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """The labelled season table, a folder per season, sorted by shooter within each file.
+
+    A scan by season opens its folders only, and one by shooter skips most row groups by their
+    minimum and maximum.
+    """
+    balanced = shots.select(*schemas.STREAK_SHOTS.names).hint("rebalance", "slug_season")
+    ordered = balanced.sortWithinPartitions("slug_season", "shooter")
+    ordered.write.mode(mode).partitionBy("slug_season").parquet(path)
+
+
 def read_players(spark: SparkSession, source: str, fmt: str = "parquet", **options: str) -> DataFrame:
     """idPlayer and namePlayer of every player."""
     return read_table(spark, source, schemas.PLAYERS, fmt, **options).select("idPlayer", "namePlayer")

@@ -2,7 +2,7 @@
 
 import pytest
 
-from rimlight import schemas
+from rimlight import adapters, schemas
 from rimlight.operators.hexbin import with_hex_cell
 from rimlight.operators.tracking import ball_positions, half_court
 from rimlight.plans import coverage_table, enrich_shots, hex_shot_chart, zone_table
@@ -45,6 +45,19 @@ def test_scan_filters_reach_the_file(streak_shots):
     assert "yearSeasonLast" not in text
 
 
+def test_season_filter_prunes_folders(spark, tmp_path):
+    path = str(tmp_path / "by_season")
+    shots = adapters.streak_shots(spark, SF)
+    tables.write_streak_shots(shots, path)
+    stored = read_streak_shots(spark, path)
+    assert stored.count() == shots.count()
+    seasons = ["2024-01-01", "2024-01-08"]
+    text = plan(zone_table(stored, "1 Make", "7", seasons))
+    assert "PartitionFilters: [slug_season" in text
+    one, other = (zone_table(df, "1 Make", "7", seasons).collect() for df in (stored, shots))
+    assert one == other != []
+
+
 def test_zone_table_is_one_scan_and_one_aggregate_shuffle(streak_shots):
     for scope in ("league", "self"):
         text = plan(zone_table(streak_shots, "1 Make", "Ann", ["2016-17"], scope))
@@ -91,7 +104,7 @@ def test_hex_plans_have_no_cross_join(streak_shots):
     assert "NestedLoop" not in plan(with_hex_cell(streak_shots, "location_x", "location_y"))
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"ingest_games", "tracking_csv", "enriched_sink"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"ingest_games", "tracking_csv", "enriched_sink", "season_table_scan"}))
 def test_queries_stay_in_the_jvm_without_cross_joins(spark, name):
     text = plan(QUERIES[name](spark, SF))
     for operator in ("NestedLoop", "Cartesian", "BatchEvalPython", "ArrowEvalPython", "MapInPandas"):
