@@ -5,7 +5,7 @@ candidates. A pair's signatures are compared batch by batch: under a uniform pri
 given m matches of n is Beta(m + 1, n - m + 1), and a pair goes once the probability that it reaches
 the threshold is below ``miss``. What survives is confirmed on the full shingle sets.
 
-Instead of all pairs of a bucket, each member is first compared with the bucket's least node. Where
+Instead of all pairs of a bucket, each member is first compared with the bucket's centre. Where
 the links found leave a bucket in several components, its members are compared across components by
 an exact prefix filter: two sets that are similar enough share one of their rarest shingles, so a
 common shingle of a large group makes no pairs within that group.
@@ -176,30 +176,35 @@ def cross_pairs(texts: DataFrame, roots: DataFrame, size: int, percent: int) ->
     """Pairs of different components that share one of their rarest shingles.
 
     A set of n shingles has n - ceil(t n) + 1 of them in its prefix, rarest first by one order for
-    all; two sets of similarity t or more share a shingle of their prefixes. Shingles of a single
-    set are in no pair and only shorten its prefix.
+    all; two sets of similarity t or more share a shingle of their prefixes. At the first that they share,
+    no more than the rest of either set can be common, which must suffice for t. Shingles of a single
+    set are in no pair and only take the first places.
     """
     rows = shingle_rows(texts, size)
     spread = rows.groupBy("shingle").agg(F.count("*").alias("sets")).where("sets > 1")
     per_node = Window.partitionBy("node")
     place = F.row_number().over(per_node.orderBy("sets", "shingle"))
     own = F.col("n") - F.count("*").over(per_node)
-    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    # shingles of the set from this one on
+    after = F.col("n") - F.col("own") - F.col("place") + 1
     prefix = (
         rows.join(spread, "shingle")
         .withColumns({"place": place, "own": own})
-        .where(F.col("own") + F.col("place") <= length)
-        .select("node", "shingle")
+        .where(F.col("own") + F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+        .select("node", "shingle", "n", after.alias("after"))
     )
-    prefix = cut_lineage(prefix.join(roots, "node").select("node", "shingle", "root"))
+    prefix = cut_lineage(prefix.join(roots, "node"))
     # the greatest component of a shingle makes no pairs of its own
     sizes = prefix.groupBy("shingle", "root").count()
     main = sizes.groupBy("shingle").agg(F.max(F.struct("count", "root")).alias("m"), F.count("*").alias("k"))
     main = main.where("k > 1").select("shingle", F.col("m.root").alias("main"))
     split = prefix.join(main, "shingle")
-    left = split.where("root <> main").select("shingle", F.col("node").alias("x"), F.col("root").alias("rx"))
-    right = split.select("shingle", F.col("node").alias("y"), F.col("root").alias("ry"))
-    met = left.join(right, "shingle").where("rx <> ry")
+    left = split.where("root <> main").drop("main")
+    left = left.withColumnsRenamed({"node": "x", "root": "rx", "n": "nx", "after": "ax"})
+    right = split.drop("main").withColumnsRenamed({"node": "y", "root": "ry", "n": "ny", "after": "ay"})
+    right = right.withColumnRenamed("shingle", "_shingle")
+    enough = F.least("ax", "ay") * (100 + percent) >= (F.col("nx") + F.col("ny")) * percent
+    met = left.join(right, (F.col("shingle") == F.col("_shingle")) & (F.col("rx") != F.col("ry")) & enough)
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -235,14 +240,19 @@ def near_duplicates(
     )
     nodes = cut_lineage(nodes)
     keys = band_keys(nodes, bands, rows)
-    shared = keys.groupBy("key").agg(F.count("*").alias("k"), F.min("node").alias("centre")).where("k > 1")
-    buckets = cut_lineage(keys.join(shared.select("key", "centre"), "key"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
+    buckets = cut_lineage(keys.join(shared, "key"))
     links = cut_lineage(nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
     member = buckets.select("node").distinct()
     if not member.isEmpty():
         member = cut_lineage(member.join(nodes.select("node", "doc_id"), "node"))
         texts = cut_lineage(_texts_of(docs, member, size))
-        stars = buckets.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+        # a bucket's centre is the member that meets most others, as the original of copies does
+        weights = buckets.groupBy("node").agg(F.sum("k").alias("weight"))
+        order = F.struct("weight", "node")
+        centres = buckets.join(weights, "node").groupBy("key").agg(F.max(order)["node"].alias("centre"))
+        pair = F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")
+        stars = buckets.join(centres, "key").where("node <> centre").select(*pair).distinct()
         links = _verified(stars, nodes, texts, size, percent, batch, miss, bands * rows)
         roots = components(links)
         root_of = buckets.select("node", "key").join(roots, "node", "left")
