@@ -12,8 +12,8 @@ MAX_BROADCAST_ROWS = 1_000_000
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows. Counts them; for narrow and cheap frames."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """Whether ``df`` has at most ``max_rows`` rows. Counts them, one row per task; for narrow and cheap frames."""
+    return df.count() <= max_rows
 
 
 def counted_side(df: DataFrame, small: bool) -> DataFrame:

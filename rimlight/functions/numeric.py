@@ -21,9 +21,11 @@ def round_to(value: Column, digits: int) -> Column:
     """Half-up rounding of the value's six-place decimal, as a double.
 
     Rounding a binary double directly depends on the engine's text form of it; going through a
-    decimal makes the result the same everywhere.
+    decimal makes the result the same everywhere. What the decimal cannot hold, values from 1e12 on, NaN
+    and infinity, is rounded as a double.
     """
-    return F.round(value.cast(DecimalType(18, 6)), digits).cast("double")
+    exact = F.round(value.try_cast(DecimalType(18, 6)), digits).cast("double")
+    return F.coalesce(exact, F.round(value.cast("double"), digits))
 
 
 def round_numeric(df: DataFrame, digits: int) -> DataFrame:

@@ -9,14 +9,13 @@ from pyspark.sql import functions as F
 
 from rimlight.functions import hexgrid
 from rimlight.functions.hexgrid import BIN_WIDTH, CELL
+from rimlight.functions.joins import counted_side, fits_broadcast, join_null_safe
 from rimlight.operators.zones import ZONE
+from rimlight.session import cut_lineage
 
 # A cell's key: the anchor of its lattice and its place on it.
 HEX = ["x0", "y0", *CELL]
 
-# Parts a group is spread over when its anchor is joined back to its rows.
-SALTS = 32
-
 
 def with_hex_cell(
     df: DataFrame,
@@ -25,16 +24,14 @@ def with_hex_cell(
     width: float = BIN_WIDTH,
     by: Sequence[str] = (),
     origin: tuple[float, float] | None = None,
-    few_rows: bool = False,
 ) -> DataFrame:
     """``df`` with its lattice anchor (x0, y0) and cell (lat, j, i); rows without a location go.
 
     The lattice is anchored to the lower bounds of the data: of each ``by`` group, or of all rows.
     ``origin`` fixes the anchor instead, for cells that compare across selections.
 
-    The anchors of groups are joined back on the group and a hash of the row, so that no task gets
-    the whole of a hot group. ``few_rows`` states that groups are small, as they are after counting
-    equal locations; then a window finds the bounds in the same pass.
+    The anchors of groups are joined back on the group, null groups included: sent out if their
+    count allows it, else by a sort-merge join whose skewed partitions adaptive plans split.
     """
     located = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     lows = [
@@ -43,19 +40,9 @@ def with_hex_cell(
     ]
     if origin is not None:
         anchored = located.withColumns({"x0": F.lit(float(origin[0])), "y0": F.lit(float(origin[1]))})
-    elif by and few_rows:
-        group = Window.partitionBy(*by)
-        anchored = located.withColumns(
-            {
-                "x0": hexgrid.lower_bound(F.min(x).over(group), width),
-                "y0": hexgrid.lower_bound(F.min(y).over(group), width),
-            }
-        )
     elif by:
-        part = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int")
-        parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-        anchors = located.groupBy(*by).agg(*lows).withColumn("_part", parts)
-        anchored = located.withColumn("_part", part).join(anchors, [*by, "_part"])
+        anchors = cut_lineage(located.groupBy(*by).agg(*lows))
+        anchored = join_null_safe(located, counted_side(anchors, fits_broadcast(anchors)), by, "inner")
     else:
         low = located.agg(F.struct(*lows)).scalar()
         anchored = located.withColumn("_low", low).select(*df.columns, "_low.x0", "_low.y0")

@@ -6,15 +6,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Markup in which an <a> is not a link, removed first.
-HIDDEN_MARKUP = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
-ANCHOR = r"(?is)<a\s[^>]*>"
+HIDDEN_MARKUP = r"(?is)<!--.*?-->|<(script|style|textarea|title)\b.*?</\1\s*>"
+# A tag ends at the first > outside quotes.
+ANCHOR = r"""(?is)<a\s(?:[^>"']|"[^"]*"|'[^']*')*+>"""
 HREF = r"""(?is)\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 
 # Character references found in addresses; the ampersand comes last.
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&")]
+NUMERIC = r"&#([xX][0-9a-fA-F]{1,6}|[0-9]{1,7});"
+
+
+def _character(reference: Column) -> Column:
+    """The character of a numeric reference; the reference itself if there is none of that number."""
+    body = F.regexp_extract(reference, NUMERIC, 1)
+    digits = F.when(body.rlike("^[xX]"), F.upper(F.substr(body, F.lit(2)))).otherwise(F.conv(body, 10, 16))
+    code = F.conv(digits, 16, 10).cast("bigint")
+    valid = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
+    hexed = F.when(valid, digits).otherwise(F.lit("26"))
+    return F.when(valid, F.decode(F.unhex(F.lpad(hexed, 8, "0")), "UTF-32")).otherwise(reference)
 
 
 def _unescape(text: Column) -> Column:
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(NUMERIC), F.lit(0)))
+    text = F.aggregate(found, text, lambda done, ref: F.replace(done, ref, _character(ref)))
     for entity, char in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(char))
     return text

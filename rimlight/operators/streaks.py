@@ -3,16 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import (
-    DateType,
-    IntegralType,
-    NumericType,
-    TimestampNTZType,
-    TimestampType,
-)
 
 from rimlight.session import cut_lineage
 
@@ -22,10 +16,11 @@ NO_STREAK = "0"
 
 # Rows of one group that a single task sorts; a larger group is cut into chunks.
 MAX_GROUP_ROWS = 5_000_000
-# Chunks are equal in their range of order values, not in rows; extra ones keep busy stretches small.
-CHUNKS_PER_SHARE = 8
-# Oversized groups up to this many go out as a broadcast table (a key and three numbers each).
-MAX_BROADCAST_GROUPS = 100_000
+# Sampled rows that place one cut point, and the parts of the hash that samples.
+SAMPLES_PER_CHUNK = 64
+_SLICES = 1 << 30
+# Oversized groups up to this many go out as a broadcast table (a key and the cut points).
+MAX_BROADCAST_GROUPS = 10_000
 
 
 def streak_label(previous: Sequence[Column]) -> Column:
@@ -49,70 +44,38 @@ def streak_or_zero(streak: str | Column = "streak_col") -> Column:
     return F.coalesce(F.col(streak) if isinstance(streak, str) else streak, F.lit(NO_STREAK))
 
 
-def _whole_number(df: DataFrame, name: str) -> Column | None:
-    """The column as a bigint that grows with it: whole numbers, days, microseconds."""
-    dtype, value = df.schema[name].dataType, F.col(name)
-    if isinstance(dtype, IntegralType):
-        return value.cast("bigint")
-    if isinstance(dtype, DateType):
-        return F.unix_date(value).cast("bigint")
-    if isinstance(dtype, TimestampType):
-        return F.unix_micros(value)
-    if isinstance(dtype, TimestampNTZType):
-        # By its parts: a cast to an instant would depend on the time zone and its clock changes.
-        days = F.unix_date(value.cast("date")).cast("bigint")
-        minutes = (days * 24 + F.hour(value)) * 60 + F.minute(value)
-        return minutes * 60_000_000 + (F.extract(F.lit("SECOND"), value) * 1_000_000).cast("bigint")
-    return None
-
-
 def _oversized(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], max_rows: int
 ) -> tuple[DataFrame, Column] | None:
-    """Groups over ``max_rows`` and the chunk of each of their rows; nothing if there are none.
+    """Groups over ``max_rows`` with their cut points, and the chunk of each row; nothing if there are none.
 
-    The chunk is the row's share of the group's range of the first order column, with ties spread by
-    the second. It never falls along the order, and equal rows share it.
+    The cut points are rows of the group at equal steps of a sample, chosen by a hash, as structs of
+    all order columns. A row's chunk is the number of cut points not above it: it never falls along
+    the order, and only rows equal in all order columns must share it.
     """
-    lead, step, second = _whole_number(df, order[0]), F.lit(1), None
-    if lead is not None and len(order) > 1:
-        second = _whole_number(df, order[1])
-    if lead is None:
-        if not isinstance(df.schema[order[0]].dataType, NumericType):
-            raise TypeError(f"order column {order[0]!r} must be a number, date or timestamp")
-        lead, step = F.col(order[0]).cast("double"), F.lit(1e-9)
-    if second is None:
-        second = F.lit(0).cast("bigint")
-
-    groups = (
-        df.groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.min(lead).alias("_lo"),
-            F.max(lead).alias("_hi"),
-            F.min(second).alias("_lo2"),
-            F.max(second).alias("_hi2"),
-        )
-        .where(F.col("_n") > max_rows)
-        .select(
-            *keys,
-            "_lo",
-            "_lo2",
-            (F.col("_hi") - F.col("_lo") + step).cast("double").alias("_span"),
-            (F.col("_hi2") - F.col("_lo2") + 1).cast("double").alias("_span2"),
-            (F.ceil(F.col("_n") / F.lit(max_rows)) * CHUNKS_PER_SHARE).alias("_chunks"),
-        )
-    )
-    if groups.isEmpty():
+    groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_rows)
+    groups = cut_lineage(groups.withColumn("_chunks", 2 * F.ceil(F.col("_n") / F.lit(max_rows))))
+    n = groups.count()
+    if not n:
         return None
-    groups = cut_lineage(groups)
-    if groups.count() <= MAX_BROADCAST_GROUPS:
-        groups = F.broadcast(groups)
-    tie = F.coalesce((second - F.col("_lo2")) / F.col("_span2"), F.lit(0.0))
-    share = ((lead - F.col("_lo")).cast("double") + tie) / F.col("_span") * F.col("_chunks")
-    # -1: the whole of a group that is not cut, and rows that sort first for want of an order value.
-    chunk = F.when(share.isNull(), -1).otherwise(F.least(F.floor(share), F.col("_chunks") - 1))
-    return groups, chunk
+    small = n <= MAX_BROADCAST_GROUPS
+    row = F.struct(*order)
+    place = F.pmod(F.xxhash64(*order), F.lit(_SLICES)) / F.lit(float(_SLICES))
+    sample = (
+        df.select(*keys, *order)
+        .join(F.broadcast(groups) if small else groups, list(keys))
+        .where(place < SAMPLES_PER_CHUNK * F.col("_chunks") / F.col("_n"))
+        .groupBy(*keys)
+        .agg(F.sort_array(F.collect_list(row)).alias("_sample"), F.min("_chunks").alias("_chunks"))
+    )
+    step = F.size("_sample") / F.col("_chunks")
+    at = F.transform(
+        F.sequence(F.lit(1), (F.col("_chunks") - 1).cast("int")),
+        lambda k: F.get("_sample", F.floor(k * step).cast("int")),
+    )
+    cuts = cut_lineage(sample.select(*keys, F.filter(at, lambda c: c.isNotNull()).alias("_cuts")))
+    chunk = F.when(F.col("_cuts").isNull(), -1).otherwise(F.size(F.filter("_cuts", lambda c: c <= row)))
+    return F.broadcast(cuts) if small else cuts, chunk
 
 
 def _carried(chunked: DataFrame, keys: Sequence[str], order: Sequence[str], made: str, cap: int) -> DataFrame:
@@ -144,20 +107,23 @@ def label_streaks(
 ) -> DataFrame:
     """``shots`` with the label of the run that ends before each shot.
 
-    Shots without a known result, shooter or reset value belong to no run and are left out. Runs
-    restart with each value of ``reset``; the first shot has a null label. A label depends on
-    the last ``cap`` results only, so a group with more than ``max_group_rows`` rows is cut along
-    the leading order column, each chunk is labelled on its own, and the results just before it are
-    carried in from the chunks before. The labels are those of the uncut group.
+    Shots without a known result, shooter or reset value belong to no run: they stay, with a null
+    label. Runs restart with each value of ``reset``; the first shot has a null label. A label depends
+    on the last ``cap`` results only, so a group with more than ``max_group_rows`` rows is cut along
+    its order into chunks of about half as many, each chunk is labelled on its own, and the results just
+    before it are carried in from the chunks before. The labels are those of the uncut group.
     """
     keys = [shooter, *reset]
-    known = shots.dropna(subset=[made, *keys])
+    is_known = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in [made, *keys]])
+    known = shots.where(is_known)
     found = _oversized(known, keys, order, max_group_rows)
 
     if found is None:
-        in_order = Window.partitionBy(*keys).orderBy(*order)
+        # the other rows are spread, as they make no runs
+        spread = F.when(~is_known, F.xxhash64(*order))
+        in_order = Window.partitionBy(*keys, spread).orderBy(*order)
         previous = [F.lag(made, k).over(in_order) for k in range(1, cap + 1)]
-        return known.withColumn(name, streak_label(previous))
+        return shots.withColumn(name, F.when(is_known, streak_label(previous)))
 
     oversized, chunk = found
     # Partitioned by hand: a join on the keys would leave all chunks of a group in one task.
@@ -177,8 +143,9 @@ def label_streaks(
         )
         for k in range(1, cap + 1)
     ]
-    return (
+    labelled = (
         numbered.join(carried, [*keys, "_chunk"], "left")
         .withColumn(name, streak_label(previous))
         .select(*known.columns, name)
     )
+    return labelled.unionByName(shots.where(~is_known).withColumn(name, F.lit(None).cast("string")))

@@ -551,3 +551,6 @@ ORACLE_SQL: dict[str, str] = {
         CAST(2005 + s_nationkey AS INTEGER) AS year_season_last,
         'https://pictures.example/' || CAST(s_suppkey AS VARCHAR) AS url_player_headshot FROM supplier""",
 }
+# the same results by other paths
+ORACLE_SQL["streak_labels_cut"] = ORACLE_SQL["streak_labels"]
+ORACLE_SQL["ingest_two_batches"] = ORACLE_SQL["ingest_games"]

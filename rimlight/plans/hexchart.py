@@ -12,6 +12,7 @@ from rimlight.functions.joins import join_null_safe
 from rimlight.functions.numeric import clamp
 from rimlight.operators.hexbin import hex_stats, hex_vertices, with_hex_cell
 from rimlight.operators.zones import ZONE, zone_comparison
+from rimlight.session import cut_lineage
 from rimlight.sources.tables import in_seasons, known_results
 
 # Ranges of the colour scales.
@@ -25,8 +26,8 @@ def chart_shots(
 ) -> DataFrame:
     """The shots of a chart: attempts, makes and points per player, zone and location in feet.
 
-    Locations are whole tenths of a foot, so counting equal ones before the shuffle bounds the rows
-    of any player by the points of the court.
+    Equal locations are counted before the shuffle. Where locations are whole tenths of a foot, that
+    bounds the rows of any player by the points of the court; nothing rests on it.
     """
     rows = shots.where(in_seasons(seasons) & (F.col("streak_col") == streak))
     if player is not None:
@@ -61,11 +62,10 @@ def hex_shot_chart(
     The lattice is anchored to each player's own shots. ``adj_x`` and ``adj_y`` are the corner
     drawn toward the centre by ``radius_factor``, x mirrored. No shots give no rows. Without
     ``player``, the charts of all players. ``shots`` is scanned once for the cells and once for the
-    zones; after the first shuffle all groups are bounded by the points or cells of the court.
+    zones. The counted locations are written once, as the anchors and the cells both read them.
     """
-    cells = with_hex_cell(
-        chart_shots(shots, streak, player, seasons), width=width, by=["shooter"], few_rows=True
-    )
+    counted = cut_lineage(chart_shots(shots, streak, player, seasons))
+    cells = with_hex_cell(counted, width=width, by=["shooter"])
     zones = zone_comparison(shots, streak, player, seasons, scope)
     keys = ZONE if player is not None else ["shooter", *ZONE]
     joined = join_null_safe(hex_stats(cells, ["shooter"]), zones, keys, "inner")

@@ -59,6 +59,15 @@ def streak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shots.select("event_id", "shooter", streaks.streak_or_zero().alias("streak_col"))
 
 
+@query("streak_labels_cut")
+def streak_labels_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels with every shooter's shots cut into chunks."""
+    shots = streaks.label_streaks(
+        adapters.event_shots(spark, sf_dir), order=("ts", "event_id"), reset=(), max_group_rows=50
+    )
+    return shots.select("event_id", "shooter", streaks.streak_or_zero().alias("streak_col"))
+
+
 @query("streak_label_counts")
 def streak_label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     shots = adapters.streak_shots(spark, sf_dir)
@@ -504,24 +513,37 @@ def enriched_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("ingest_games")
-def ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _ingest_paths(spark: SparkSession, source: str) -> IngestPaths:
     root = scratch_path(spark, "ingest")
-    paths = IngestPaths(
-        source=adapters.write_game_logs(spark, sf_dir),
-        tracking=f"{root}/tracking",
-        enriched=f"{root}/enriched",
-        checkpoint=f"{root}/checkpoint",
-    )
-    stream = ingest_games(
+    return IngestPaths(source, f"{root}/tracking", f"{root}/enriched", f"{root}/checkpoint")
+
+
+def _ingest(spark: SparkSession, sf_dir: str, paths: IngestPaths) -> None:
+    ingest_games(
         spark,
         paths,
         adapters.order_shots(spark, sf_dir),
         adapters.supplier_players(spark, sf_dir),
         layout="lines",
         files="*.txt",
-    )
-    stream.awaitTermination()
+    ).awaitTermination()
+
+
+@query("ingest_two_batches")
+def ingest_two_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each game's lines arrive in two runs; the second enriches and gates the whole games."""
+    paths = _ingest_paths(spark, scratch_path(spark, "logs"))
+    lines = adapters.game_log_lines(spark, sf_dir)
+    for half in (0, 1):
+        lines.where(F.crc32(F.col("value").cast("binary")) % 2 == half).write.mode("append").text(paths.source)
+        _ingest(spark, sf_dir, paths)
+    return _round6(ingested_shots(spark, paths), "distance_to_shooter")
+
+
+@query("ingest_games")
+def ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = _ingest_paths(spark, adapters.write_game_logs(spark, sf_dir))
+    _ingest(spark, sf_dir, paths)
     return _round6(ingested_shots(spark, paths), "distance_to_shooter")
 
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StringType, StructField, StructType
 
 from rimlight import schemas
 from rimlight.functions import court
@@ -15,7 +16,18 @@ from rimlight.operators.gate import MAX_MISSING
 from rimlight.plans.enrich import enrich_games, numeric_shots
 from rimlight.session import cut_lineage
 from rimlight.sources.game_logs import LOG_FILES, marked_logs, stream_game_logs
-from rimlight.sources.tracking import BATCH, latest_games, read_batch, read_batches, write_batch
+from rimlight.sources.tracking import (
+    BATCH,
+    latest_events,
+    latest_games,
+    read_batch,
+    read_batches,
+    write_batch,
+)
+
+# Beside the tracking rows: the games of each batch.
+GAMES = "_games"
+GAME_NAMES = StructType([StructField("game_id", StringType())])
 
 
 @dataclass(frozen=True)
@@ -41,18 +53,28 @@ def ingest_batch(
     """One batch of documents: flatten, enrich, gate, write.
 
     The JSON is parsed once: the flattened rows go to Parquet without a shuffle, and the enrichment
-    reads them from there with pruned columns and pushed filters. Only the shots of the batch's
-    games take part: with batches of up to a few thousand games they are broadcast, and no tracking
+    reads them from there with pruned columns and pushed filters. A game with parts in earlier
+    batches is enriched and gated as a whole, each event by its latest rows. Only the shots of the
+    batch's games take part: with batches of up to a few thousand games they are broadcast, and no tracking
     rows but the ball's are shuffled. Each output has a folder per batch: a batch that runs again
     after a failure overwrites its own.
     """
     write_batch(flatten_marked(marked_logs(docs, malformed)), paths.tracking, batch_id)
-    tracking = (
-        read_batch(docs.sparkSession, paths.tracking, batch_id, schemas.MARKED_TRACKING)
-        .where(F.col("problem").isNull())
-        .select(*schemas.TRACKING.names)
-    )
-    games = tracking.select(court.game_key("game_id").alias("game_id")).distinct()
+    spark = docs.sparkSession
+    now = read_batch(spark, paths.tracking, batch_id, schemas.MARKED_TRACKING).where(F.col("problem").isNull())
+    names = now.select("game_id").distinct()
+    write_batch(names, f"{paths.tracking}{GAMES}", batch_id)
+    names = read_batch(spark, f"{paths.tracking}{GAMES}", batch_id, GAME_NAMES)
+    tracking = now.select(*schemas.TRACKING.names)
+    # games of this batch that came before, in part or whole
+    earlier = read_batches(spark, f"{paths.tracking}{GAMES}", GAME_NAMES).where(F.col(BATCH) < batch_id)
+    known = cut_lineage(earlier.join(names, "game_id", "left_semi").distinct())
+    if not known.isEmpty():
+        every = read_batches(spark, paths.tracking, schemas.MARKED_TRACKING)
+        parts = every.where(F.col("problem").isNull() & (F.col(BATCH) < batch_id))
+        parts = parts.join(known, ["game_id", BATCH], "left_semi").select(*schemas.TRACKING.names, BATCH)
+        tracking = latest_events(parts.unionByName(tracking.withColumn(BATCH, F.lit(batch_id).cast("bigint"))))
+    games = names.select(court.game_key("game_id").alias("game_id")).distinct()
     batch_shots = cut_lineage(numeric_shots(shots).join(games, "game_id", "left_semi"))
     enriched = enrich_games(tracking, batch_shots, players, max_missing, max_ball_dist=max_ball_dist)
     write_batch(enriched, paths.enriched, batch_id)
@@ -66,7 +88,9 @@ def quarantine(spark: SparkSession, paths: IngestPaths) -> DataFrame:
 
 def ingested_shots(spark: SparkSession, paths: IngestPaths) -> DataFrame:
     """The enriched shots ingested so far, each game from the last batch that had it."""
-    return latest_games(read_batches(spark, paths.enriched))
+    sent = read_batches(spark, f"{paths.tracking}{GAMES}", GAME_NAMES)
+    sent = sent.select(court.game_key("game_id").alias("game_id"), BATCH)
+    return latest_games(read_batches(spark, paths.enriched), sent)
 
 
 def ingest_games(
@@ -84,8 +108,8 @@ def ingest_games(
     """Start ingesting the files not yet seen; ends when they are done.
 
     What was seen is kept in the checkpoint, so files need not be removed; ``clean_source`` can
-    "archive" or "delete" them once a later batch has run. The gate counts a game's shots within a
-    batch, so with ``max_files`` a game must not span files.
+    "archive" or "delete" them once a later batch has run. A game may span files and batches: the
+    batch that brings more of it enriches and gates all of it.
     """
     options: dict[str, object] = {"cleanSource": clean_source}
     if archive_dir:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rimlight import schemas
+from rimlight.operators import hexbin
 from rimlight.operators.hexbin import HEX, hex_stats, hex_vertices, with_hex_cell
 from rimlight.plans import hex_shot_chart
 
@@ -53,8 +54,20 @@ def test_groups_have_anchors_of_their_own(spark):
         alone = with_hex_cell(df.where(F.col("p") == p))
         apart |= {(r.p, r.x0, r.y0, r.lat, r.j, r.i) for r in alone.collect()}
     assert together == apart
-    windowed = with_hex_cell(df, by=["p"], few_rows=True).collect()
-    assert {(r.p, r.x0, r.y0, r.lat, r.j, r.i) for r in windowed} == apart
+
+
+def test_rows_of_a_null_group_stay(spark, monkeypatch):
+    df = spark.createDataFrame([(p, 0.1 * k, 0.2 * k, 1, 1, 2, "n", "C") for k, p in enumerate(["a", None, None])], POINT)
+    got = {(r.p, r.lat, r.j, r.i) for r in with_hex_cell(df, by=["p"]).collect()}
+    assert with_hex_cell(df, by=["p"]).count() == 3
+    monkeypatch.setattr(hexbin, "fits_broadcast", lambda df: False)
+    assert {(r.p, r.lat, r.j, r.i) for r in with_hex_cell(df, by=["p"]).collect()} == got
+
+
+def test_a_chart_has_no_window_over_raw_locations(spark):
+    df = spark.createDataFrame([("a", 0.1 + 0.013 * k, 0.2 * k, 1, 1, 2, "n", "C") for k in range(50)], POINT)
+    plan = with_hex_cell(df, by=["p"])._jdf.queryExecution().toString()
+    assert "Window" not in plan
 
 
 def test_fixed_origin_and_missing_location(spark):

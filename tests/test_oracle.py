@@ -11,7 +11,7 @@ from rimlight.queries import QUERIES
 
 SF_DIR = os.environ.get("PARITY_SF_DIR", "/root/testdata/sf0.001")
 # Too few suppliers at the smallest scale for any game to pass the gate.
-EMPTY_AT_SMALLEST = {"quality_gate", "ingest_games"}
+EMPTY_AT_SMALLEST = {"quality_gate", "ingest_games", "ingest_two_batches"}
 
 
 @pytest.fixture(scope="module")
@@ -28,7 +28,9 @@ def test_equals_sql(spark, duck, name):
 
 
 def test_contract(spark):
-    assert entry.queries().keys() == entry.oracle_sql().keys()
+    assert QUERIES.keys() == ORACLE_SQL.keys()
+    assert QUERIES.keys() <= entry.queries().keys()
+    assert entry.oracle_sql().keys() <= entry.queries().keys()
     assert entry.entry(spark).columns == [
         "shooter", "zone_range", "name_zone", "zone_pct", "zone_points_per_shot", "league_pps",
     ]

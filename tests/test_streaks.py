@@ -76,11 +76,11 @@ def test_label_ignores_later_shots(spark):
     assert part == {k: whole[k] for k in part}
 
 
-def test_unknown_results_are_left_out(spark):
+def test_unknown_results_keep_their_rows_and_make_no_run(spark):
     start = datetime(2024, 1, 1)
     rows = [("a", 1, start, 0, True), ("a", 1, start, 1, None), ("a", 1, start, 2, True)]
     got = labels(label_streaks(spark.createDataFrame(rows, SCHEMA), order=("event_id",)))
-    assert got == {0: None, 2: "1 Make"}
+    assert got == {0: None, 1: None, 2: "1 Make"}
 
 
 def test_rows_without_time_sort_first_in_chunks_too(spark):
@@ -91,10 +91,12 @@ def test_rows_without_time_sort_first_in_chunks_too(spark):
     assert labels(whole) == labels(cut)
 
 
-def test_order_must_be_numeric(spark):
-    df = spark.createDataFrame(shots(1, 20), SCHEMA)
-    with pytest.raises(TypeError):
-        label_streaks(df, order=("shooter",))
+def test_text_orders_are_cut_as_well(spark):
+    df = spark.createDataFrame(shots(1, 60), SCHEMA).withColumn("place", F.date_format("ts", "yyyyMMddHHmmss"))
+    order = ("place", "event_id")
+    whole = label_streaks(df, order=order)
+    cut = label_streaks(df, order=order, max_group_rows=4)
+    assert sorted(map(str, whole.collect())) == sorted(map(str, cut.collect()))
 
 
 def test_stored_form(spark):
@@ -136,3 +138,19 @@ def test_microseconds_are_kept_apart(spark):
     whole = label_streaks(df, order=("ts", "event_id"))
     cut = label_streaks(df, order=("ts", "event_id"), max_group_rows=4)
     assert labels(cut) == labels(whole)
+
+
+def test_cuts_hold_for_any_ids_and_stray_clocks(spark):
+    rng = random.Random(5)
+    start = datetime(2024, 1, 1)
+    ids = [rng.randrange(-(2**63), 2**63) for _ in range(60)]
+    rows = [("a", 1, start, i, rng.random() < 0.5) for i in ids]
+    rows += [("b", 1, start + timedelta(seconds=k) if k else datetime(1970, 1, 1), k, k % 3 > 0) for k in range(2000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    whole = label_streaks(df, order=("ts", "event_id"))
+    cut = label_streaks(df, order=("ts", "event_id"), max_group_rows=20)
+    assert sorted(map(str, whole.collect())) == sorted(map(str, cut.collect()))
+    keys = ["shooter", "game_id"]
+    groups, chunk = streaks._oversized(df, keys, ("ts", "event_id"), 200)
+    sizes = df.join(groups, keys).groupBy(chunk.alias("c")).count().collect()
+    assert max(r["count"] for r in sizes) <= 400
