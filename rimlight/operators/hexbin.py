@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rimlight.functions import hexgrid
 from rimlight.functions.hexgrid import BIN_WIDTH, CELL
-from rimlight.functions.joins import counted_side, fits_broadcast, join_null_safe
+from rimlight.functions.joins import join_null_safe
 from rimlight.operators.zones import ZONE
 from rimlight.session import cut_lineage
 
@@ -30,8 +30,8 @@ def with_hex_cell(
     The lattice is anchored to the lower bounds of the data: of each ``by`` group, or of all rows.
     ``origin`` fixes the anchor instead, for cells that compare across selections.
 
-    The anchors of groups are joined back on the group, null groups included: sent out if their
-    count allows it, else by a sort-merge join whose skewed partitions adaptive plans split.
+    The anchors of groups are written and joined back on the group, null groups included: Spark sends
+    them out if their files are small, else adaptive plans split the skewed partitions of the join.
     """
     located = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     lows = [
@@ -42,7 +42,7 @@ def with_hex_cell(
         anchored = located.withColumns({"x0": F.lit(float(origin[0])), "y0": F.lit(float(origin[1]))})
     elif by:
         anchors = cut_lineage(located.groupBy(*by).agg(*lows))
-        anchored = join_null_safe(located, counted_side(anchors, fits_broadcast(anchors)), by, "inner")
+        anchored = join_null_safe(located, anchors, by, "inner")
     else:
         low = located.agg(F.struct(*lows)).scalar()
         anchored = located.withColumn("_low", low).select(*df.columns, "_low.x0", "_low.y0")

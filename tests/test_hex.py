@@ -5,7 +5,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from rimlight import schemas
-from rimlight.operators import hexbin
 from rimlight.operators.hexbin import HEX, hex_stats, hex_vertices, with_hex_cell
 from rimlight.plans import hex_shot_chart
 
@@ -56,12 +55,16 @@ def test_groups_have_anchors_of_their_own(spark):
     assert together == apart
 
 
-def test_rows_of_a_null_group_stay(spark, monkeypatch):
+def test_rows_of_a_null_group_stay(spark):
     df = spark.createDataFrame([(p, 0.1 * k, 0.2 * k, 1, 1, 2, "n", "C") for k, p in enumerate(["a", None, None])], POINT)
     got = {(r.p, r.lat, r.j, r.i) for r in with_hex_cell(df, by=["p"]).collect()}
     assert with_hex_cell(df, by=["p"]).count() == 3
-    monkeypatch.setattr(hexbin, "fits_broadcast", lambda df: False)
-    assert {(r.p, r.lat, r.j, r.i) for r in with_hex_cell(df, by=["p"]).collect()} == got
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert {(r.p, r.lat, r.j, r.i) for r in with_hex_cell(df, by=["p"]).collect()} == got
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
 
 def test_a_chart_has_no_window_over_raw_locations(spark):
