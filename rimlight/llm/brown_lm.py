@@ -147,7 +147,8 @@ def exchange(counts: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
             between[a] -= out
             between[:, a] -= into
             between[a, a] -= own
-            rows, cols = between.sum(axis=1), between.sum(axis=0)
+            # wherever u goes, classes before and after it regain their pairs with it
+            rows, cols = between.sum(axis=1) + into, between.sum(axis=0) + out
             base = h(between)
             gain = (h(between + out) - base).sum(axis=1) + (h(between + into[:, None]) - base).sum(axis=0)
             corner = np.diag(between)

@@ -107,6 +107,8 @@ def train(
 
     sample = training_sample(docs, labels, label, max_rows)
     got = sample.mapInArrow(fit, "parts binary, bias double").first()  # one row of a megabyte
+    if got is None:
+        return np.zeros((1 << WORD_BITS) + (1 << GRAM_BITS), np.float32), 0.0
     return np.frombuffer(bytes(got.parts), np.float32), got.bias
 
 
