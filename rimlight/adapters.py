@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rimlight import schemas
 from rimlight.operators.streaks import label_streaks, streak_or_zero
 from rimlight.session import cut_lineage, scratch_path
+from rimlight.sources.game_logs import read_game_logs
 
 # Orders per game, and number of shooters; ids below the latter exist as suppliers at most scales.
 GAME_SHOTS = 40
@@ -220,3 +222,16 @@ def write_game_logs(spark: SparkSession, sf_dir: str) -> str:
     path = scratch_path(spark, "logs")
     game_log_lines(spark, sf_dir).write.text(path)
     return path
+
+
+def game_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """game and events: one document per game of the whole lines of ``game_log_lines``."""
+    lines = read_game_logs(spark, write_game_logs(spark, sf_dir), layout="lines", files="*.txt")
+    whole = lines.where(F.col(schemas.CORRUPT).isNull())
+    games = whole.groupBy(F.col("game_id").alias("game")).agg(F.flatten(F.collect_list("events")).alias("events"))
+    return cut_lineage(games)
+
+
+def write_game_documents(documents: DataFrame, path: str) -> None:
+    """Adds a JSON file per game to ``path``, in a folder ``game=<id>``, as Spark does not name files."""
+    documents.write.mode("append").partitionBy("game").json(path)

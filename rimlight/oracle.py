@@ -554,3 +554,8 @@ ORACLE_SQL: dict[str, str] = {
 # the same results by other paths
 ORACLE_SQL["streak_labels_cut"] = ORACLE_SQL["streak_labels"]
 ORACLE_SQL["ingest_two_batches"] = ORACLE_SQL["ingest_games"]
+ORACLE_SQL["ingest_documents"] = ORACLE_SQL["ingest_games"]
+ORACLE_SQL["flatten_documents"] = ORACLE_SQL["flatten_nested"].replace("SELECT * FROM tr", "SELECT * EXCLUDE (event_pos) FROM tr")
+ORACLE_SQL["stored_shots"] = f"""WITH {ORDER_SHOTS.strip()} SELECT CAST(game_id AS VARCHAR) AS game_id, event_id,
+    name_player, name_team, type_shot FROM os"""
+ORACLE_SQL["stored_players"] = "SELECT s_suppkey AS \"idPlayer\", s_name AS \"namePlayer\" FROM supplier"

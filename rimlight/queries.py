@@ -50,6 +50,18 @@ def _round6(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, 6) for n in names})
 
 
+def _stored_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "shots")
+    adapters.order_shots(spark, sf_dir).write.parquet(path)
+    return tables.read_shots(spark, path)
+
+
+def _stored_players(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "players")
+    adapters.supplier_players(spark, sf_dir).write.parquet(path)
+    return tables.read_players(spark, path)
+
+
 # Streaks and scans
 
 
@@ -123,6 +135,16 @@ def totals_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.total_shots(adapters.covered_shots(spark, sf_dir))
 
 
+@query("stored_shots")
+def stored_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored_shots(spark, sf_dir).select("game_id", "event_id", "name_player", "name_team", "type_shot")
+
+
+@query("stored_players")
+def stored_players(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored_players(spark, sf_dir)
+
+
 @query("active_players")
 def active_players(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.active_players(adapters.supplier_players(spark, sf_dir))
@@ -547,6 +569,37 @@ def ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round6(ingested_shots(spark, paths), "distance_to_shooter")
 
 
+@query("flatten_documents")
+def flatten_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document per file, files of the default names; an event's place is within its game."""
+    path = scratch_path(spark, "documents")
+    adapters.write_game_documents(adapters.game_documents(spark, sf_dir), path)
+    docs = game_logs.read_game_logs(spark, path, id_folder="game")
+    return flatten_tracking(game_logs.usable_logs(docs, malformed="skip_event")).drop("event_pos")
+
+
+@query("ingest_documents")
+def ingest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document per file, in two runs; files are archived once a later run has ended."""
+    paths = _ingest_paths(spark, scratch_path(spark, "documents"))
+    archive = scratch_path(spark, "archive")
+    documents = adapters.game_documents(spark, sf_dir)
+    shots, players = _stored_shots(spark, sf_dir), _stored_players(spark, sf_dir)
+    for half in (0, 1):
+        adapters.write_game_documents(documents.where(F.crc32(F.col("game").cast("binary")) % 2 == half), paths.source)
+        ingest_games(
+            spark,
+            paths,
+            shots,
+            players,
+            id_folder="game",
+            clean_source="archive",
+            archive_dir=archive,
+            malformed="skip_event",
+        ).awaitTermination()
+    return _round6(ingested_shots(spark, paths), "distance_to_shooter")
+
+
 @query("extract_links")
 def extract_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links_of(adapters.table(spark, sf_dir, "pages"))

@@ -100,6 +100,7 @@ def ingest_games(
     players: DataFrame,
     layout: str = "file",
     files: str = LOG_FILES,
+    id_folder: str | None = None,
     max_files: int | None = None,
     clean_source: str = "off",
     archive_dir: str | None = None,
@@ -116,7 +117,7 @@ def ingest_games(
         options["sourceArchiveDir"] = archive_dir
     if max_files:
         options["maxFilesPerTrigger"] = max_files
-    docs = stream_game_logs(spark, paths.source, layout, files, **options)
+    docs = stream_game_logs(spark, paths.source, layout, files, id_folder, **options)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         ingest_batch(batch, batch_id, paths, shots, players, **batch_options)
