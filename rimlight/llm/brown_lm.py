@@ -1,13 +1,15 @@
 """Class-based n-gram language model: exchange clustering over corpus counts, smoothed scores.
 
-Words are known by a 64-bit hash. The most frequent words are units of their own; the others share
-units by their last two bytes. Exchange clustering moves units between classes while the mutual
-information of neighbouring classes grows, on bigram counts of the whole training corpus. The probability of a
-word is that of its class after the class before, times that of the word within its class:
+Words are known by a 64-bit hash. The most frequent words are units of their own, the core; all others are one
+unit meanwhile. Exchange clustering moves core units between classes while the mutual information of
+neighbouring classes grows, on bigram counts of the whole training corpus. Each other training word then goes to the
+class where its own counts of classes before and after it add most. Core and classes grow with the
+vocabulary. The probability of a word is that of its class after the class before, times that of the word within its class:
 
     P(w | v) = P(C(w) | C(v)) (c(w) + 1) / (N_C + V_C + 1)
 
-with one place in each class for words not seen. Counts of words outside the frequent ones are joined, not sent.
+with one place in each class for words not seen; such a word has the class of most words seen once with its last
+two bytes. Counts and classes of words outside the frequent ones are joined, not sent.
 """
 
 from __future__ import annotations
@@ -23,8 +25,11 @@ from pyspark.sql import functions as F
 from rimlight.llm.common import crc_fold, cut_lineage, small_batches
 from rimlight.llm.text import U64, Words, mix, scan_words, text_buffers
 
-UNITS_WORDS, UNITS_ENDS = 768, 256
-CLASSES, SWEEPS = 48, 6
+# At least so many; both grow with the cube root of the vocabulary.
+UNITS_WORDS, CLASSES, SWEEPS = 768, 48, 6
+UNITS_GROW, CLASSES_GROW = 12, 1
+ENDINGS = 1 << 16
+CELLS = 4_000_000
 SENT_WORDS = 65_536
 FOLDS, HELD = 7, 2
 FLUSH = 400_000
@@ -46,101 +51,199 @@ def with_ends(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes, ends, text
 
 
-def _end_units(last2: np.ndarray, n_ends: int) -> np.ndarray:
-    return (mix(last2.astype(U64)) % U64(n_ends)).astype(np.int64)
+def _summed(held: list[tuple], keys: int) -> tuple:
+    """The columns of ``held`` with the last one summed by the first ``keys`` columns; sorted by these."""
+    columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+    order = np.lexsort(columns[:keys][::-1])
+    columns = [c[order] for c in columns]
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns[:keys]], axis=0)
+    begin = np.flatnonzero(new)
+    number = np.add.reduceat(columns[-1], begin) if len(begin) else columns[-1]
+    return *(c[begin] for c in columns[:-1]), number
 
 
-def word_counts(texts: DataFrame, n_ends: int) -> DataFrame:
-    """(h, e, c): hash, end unit and count of each token; summed within a task before the shuffle."""
+def _flushed(pieces: Iterator[tuple], keys: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Sums of the pieces within a task, given on where they grow beyond ``FLUSH``."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+    def batch_of(x: tuple) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in x], names)
 
-        def summed() -> tuple:
-            h, e, c = (np.concatenate(x) for x in zip(*held, strict=True))
-            distinct, first, place = np.unique(h, return_index=True, return_inverse=True)
-            return distinct, e[first], np.bincount(place, c, len(distinct)).astype(np.int64)
+    held: list[tuple] = []
+    for piece in pieces:
+        held.append(piece)
+        if sum(len(x[0]) for x in held) > FLUSH:
+            held = [_summed(held, keys)]
+            if 2 * len(held[0][0]) > FLUSH:
+                yield batch_of(held[0])
+                held = []
+    if held:
+        yield batch_of(_summed(held, keys))
 
-        def batch_of(x: tuple) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x[0].view(np.int64)), pa.array(x[1]), pa.array(x[2])], ["h", "e", "c"])
 
-        for batch in batches:
-            for _, data, at in text_buffers(batch.column(0)):
-                hashes, last2, _ = with_ends(scan_words(data, at))
-                distinct, first, number = np.unique(hashes, return_index=True, return_counts=True)
-                held.append((distinct, _end_units(last2[first], n_ends), number))
-            if held and sum(len(x[0]) for x in held) > FLUSH:
-                held = [summed()]
-                if len(held[0][0]) > FLUSH:
-                    yield batch_of(held[0])
-                    held = []
-        if held:
-            yield batch_of(summed())
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(h, e, c): hash, last two bytes and count of each token; summed within a task before the shuffle."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pieces() -> Iterator[tuple]:
+            for batch in batches:
+                for _, data, at in text_buffers(batch.column(0)):
+                    hashes, last2, _ = with_ends(scan_words(data, at))
+                    distinct, first, number = np.unique(hashes, return_index=True, return_counts=True)
+                    yield distinct, last2[first], number
+
+        return _flushed(pieces(), 1, ["h", "e", "c"])
 
     return texts.mapInArrow(count, "h long, e long, c long").groupBy("h").agg(F.min("e").alias("e"), F.sum("c").alias("c"))
 
 
 class Lexicon:
-    """The frequent words: sorted hashes with counts and units."""
+    """Some words: sorted hashes with counts and a number, the unit or the class."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, units: np.ndarray):
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, numbers: np.ndarray):
         order = np.argsort(hashes)
-        self.hashes, self.counts, self.units = hashes[order], counts[order], units[order]
+        self.hashes, self.counts, self.numbers = hashes[order], counts[order], numbers[order]
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place, known) of each hash."""
-        if not len(self.hashes):
-            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
         place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return place, self.hashes[place] == hashes
 
+    def number(self, hashes: np.ndarray, other: int) -> np.ndarray:
+        place, known = self.find(hashes)
+        return np.where(known, self.numbers[place], other)
 
-def _units(lexicon: Lexicon, hashes: np.ndarray, last2: np.ndarray, n_words: int, n_ends: int) -> tuple:
-    place, known = lexicon.find(hashes)
-    own = lexicon.units[place] if len(lexicon.units) else np.zeros(len(hashes), np.int64)
-    return np.where(known & (own >= 0), own, n_words + _end_units(last2, n_ends)), place, known
 
-
-def bigram_counts(texts: DataFrame, shipped, n_words: int, n_ends: int) -> DataFrame:
+def bigram_counts(texts: DataFrame, shipped, units: int) -> DataFrame:
     """(pair, c): counts of neighbouring units, as left * units + right; a text follows an end."""
-    units = n_words + n_ends
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, total = Lexicon(*shipped.value), np.zeros(units * units, np.int64)
-        for batch in batches:
-            for _, data, at in text_buffers(batch.column(0)):
-                hashes, last2, _ = with_ends(scan_words(data, at))
-                u, _, _ = _units(lexicon, hashes, last2, n_words, n_ends)
-                before = np.concatenate([[0], u[:-1]])  # the end is unit 0, and stands before each text
-                pair, number = np.unique(before * units + u, return_counts=True)
-                total[pair] += number
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["pair", "c"])
+        lexicon = Lexicon(*shipped.value)
+
+        def pieces() -> Iterator[tuple]:
+            for batch in batches:
+                for _, data, at in text_buffers(batch.column(0)):
+                    u = lexicon.number(with_ends(scan_words(data, at))[0], units - 1)
+                    before = np.concatenate([[0], u[:-1]])  # the end is unit 0, and stands before each text
+                    yield np.unique(before * units + u, return_counts=True)
+
+        return _flushed(pieces(), 1, ["pair", "c"])
 
     return texts.mapInArrow(count, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c"))
 
 
+def context_counts(texts: DataFrame, shipped, classes: int) -> DataFrame:
+    """(h, e, k, n) of words outside the core: how often class k stands before, or class k - classes - 1 after.
+
+    Class ``classes`` is that of all words outside the core. Summed within a task only.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = Lexicon(*shipped.value)
+
+        def pieces() -> Iterator[tuple]:
+            for batch in batches:
+                for _, data, at in text_buffers(batch.column(0)):
+                    hashes, last2, _ = with_ends(scan_words(data, at))
+                    c = lexicon.number(hashes, classes)
+                    # an end, of class 0, stands before and after each text's words
+                    other = np.flatnonzero(c == classes)
+                    before, after = np.concatenate([[0], c])[other], np.concatenate([c[1:], [0]])[other]
+                    h, e = np.tile(hashes[other], 2), np.tile(last2[other], 2)
+                    k = np.concatenate([before, after + classes + 1])
+                    yield _summed([(h, k, e, np.ones(len(h), np.int64))], 2)
+
+        return _flushed(pieces(), 2, ["h", "k", "e", "n"])
+
+    return texts.mapInArrow(count, "h long, k long, e long, n long")
+
+
+def assigned(contexts: DataFrame, between: np.ndarray, classes: int) -> DataFrame:
+    """(h, e, c, cls): each word with its count and the class where its contexts add most to the likelihood."""
+
+    def h(x: np.ndarray) -> np.ndarray:
+        return x * np.log(np.maximum(x, 1))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # by context k, pairs of it with each class
+        table = np.concatenate([between[:, :classes], between[:classes].T])
+        base = h(table)
+        rows, cols = between[:classes].sum(axis=1), between[:, :classes].sum(axis=0)
+
+        def of(word: np.ndarray, k: np.ndarray, e: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            word, k, e, n = _summed([(word, k, e, n)], 2)
+            start = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            gain = np.empty((len(start), classes))
+            step = max(CELLS // classes, 1)
+            low = 0
+            while low < len(start):
+                high = max(int(np.searchsorted(start, start[low] + step)), low + 1)
+                a, b = start[low], start[high] if high < len(start) else len(word)
+                more = h(table[k[a:b]] + n[a:b, None]) - base[k[a:b]]
+                gain[low:high] = np.add.reduceat(more, start[low:high] - a, axis=0)
+                low = high
+            count = np.add.reduceat(np.where(k <= classes, n, 0), start)[:, None]
+            gain -= h(rows + count) - h(rows) + h(cols + count) - h(cols)
+            if classes > 1:
+                gain[:, 0] = -np.inf
+            arrays = [word[start], e[start], count[:, 0], np.argmax(gain, axis=1)]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["h", "e", "c", "cls"])
+
+        # a word's rows are next to each other; its last batch may not have all of them
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if held is not None:
+                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+            cut = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
+            held = [x[cut:] for x in now]
+            if cut:
+                yield of(*(x[:cut] for x in now))
+        if held is not None and len(held[0]):
+            yield of(*held)
+
+    return contexts.repartition("h").sortWithinPartitions("h").mapInArrow(best, "h long, e long, c long, cls long")
+
+
 def exchange(counts: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
     """Class of each unit: units move, one after another, to the class with the best likelihood.
 
     Starts from units dealt by falling frequency. The end, unit 0, is a class of its own.
     """
-    n = len(counts)
-    volume = counts.sum(axis=0) + counts.sum(axis=1)
-    order = [u for u in np.argsort(-volume, kind="stable") if u]
+    left, right = np.nonzero(counts)
+    return exchange_pairs(left, right, counts[left, right], len(counts), classes, sweeps)[0]
+
+
+def exchange_pairs(
+    left: np.ndarray, right: np.ndarray, number: np.ndarray, n: int, classes: int, sweeps: int, rest: bool = False
+) -> tuple[np.ndarray, np.ndarray]:
+    """``exchange`` on the pairs that there are: (class of each unit, counts of neighbouring classes).
+
+    With ``rest`` the last unit keeps one more class, ``classes``, for itself.
+    """
+    number = number.astype(float)
+    size, last = classes + rest, n - rest
+    volume = np.bincount(left, number, n) + np.bincount(right, number, n)
+    order = [u for u in np.argsort(-volume, kind="stable") if 0 < u < last]
     cls = np.zeros(n, np.int64)
-    cls[order] = 1 + np.arange(len(order)) % max(classes - 1, 1)
+    cls[order] = 1 + np.arange(len(order)) % max(classes - 1, 1) if classes > 1 else 0
+    if rest:
+        cls[last] = classes
+    by_left, by_right = np.argsort(left, kind="stable"), np.argsort(right, kind="stable")
+    from_left = np.searchsorted(left[by_left], np.arange(n + 1))
+    from_right = np.searchsorted(right[by_right], np.arange(n + 1))
 
     def h(x: np.ndarray) -> np.ndarray:
         return x * np.log(np.maximum(x, 1))
 
-    member = np.eye(classes)[cls]
-    between = member.T @ counts @ member
+    between = np.bincount(cls[left] * size + cls[right], number, size * size).reshape(size, size)
     for _ in range(sweeps):
         moved = 0
         for u in order:
             a = cls[u]
-            out, into, own = counts[u] @ member, counts[:, u] @ member, counts[u, u]
+            to, of = by_left[from_left[u] : from_left[u + 1]], by_right[from_right[u] : from_right[u + 1]]
+            out, into = np.bincount(cls[right[to]], number[to], size), np.bincount(cls[left[of]], number[of], size)
+            own = number[to][right[to] == u].sum()
             out[a] -= own
             into[a] -= own
             # take u out of its class
@@ -152,27 +255,175 @@ def exchange(counts: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
             base = h(between)
             gain = (h(between + out) - base).sum(axis=1) + (h(between + into[:, None]) - base).sum(axis=0)
             corner = np.diag(between)
-            k = np.arange(classes)
-            gain += h(corner + out + into + own) - h(corner + out[k]) - h(corner + into[k]) + h(corner)
+            gain += h(corner + out + into + own) - h(corner + out) - h(corner + into) + h(corner)
             gain -= h(rows + out.sum() + own) - h(rows) + h(cols + into.sum() + own) - h(cols)
             gain[0] = -np.inf
+            gain[classes:] = -np.inf
             b = int(np.argmax(gain)) if classes > 1 else a
             if gain[b] <= gain[a] + 1e-9:
                 b = a
             moved += b != a
             cls[u] = b
-            member[u] = 0
-            member[u, b] = 1
             between[b] += out
             between[:, b] += into
             between[b, b] += own
         if not moved:
             break
-    return cls
+    return cls, between
+
+
+def word_classes(
+    train: DataFrame, counts: DataFrame, distinct: int, n_words: int, classes: int, sweeps: int, sent_words: int
+) -> tuple[DataFrame, tuple, int]:
+    """((h, e, c, cls) of each training word, (hash, count, class) of the frequent ones, number of classes).
+
+    The end comes first among the frequent ones, also without training rows.
+    """
+    spark = train.sparkSession
+    root = distinct ** (1 / 3)
+    n_words, classes = max(n_words, round(UNITS_GROW * root)), max(classes, round(CLASSES_GROW * root))
+    end = int(np.array([END], U64).view(np.int64)[0])
+    top = counts.orderBy(F.col("h") != end, F.desc("c"), "h").limit(min(n_words, sent_words)).toPandas()
+    top = top.sort_values(["c", "h"], ascending=[False, True])
+    top = top.iloc[np.argsort(top.h.to_numpy() != end, kind="stable")]
+    hashes, ends, number = (top[x].to_numpy(np.int64) for x in "hec")
+    if not len(top):
+        return counts.withColumn("cls", F.lit(0).cast("long")), (np.array([END], U64), np.zeros(1, np.int64), np.zeros(1, np.int64)), classes
+    # unit 0 is the end; the last one stands for all words outside the core
+    units = len(top) + 1
+    core = spark.sparkContext.broadcast((hashes.view(U64), number, np.arange(len(top))))
+    pairs = bigram_counts(train, core, units).toPandas()
+    pair = pairs.pair.to_numpy(np.int64)
+    cls, between = exchange_pairs(pair // units, pair % units, pairs.c.to_numpy(np.int64), units, classes, sweeps, rest=True)
+    own = list(zip(*(x.tolist() for x in (hashes, ends, number, cls[:-1])), strict=True))
+    words = spark.createDataFrame(own, "h long, e long, c long, cls long")
+    frequent = hashes.view(U64), number, cls[:-1]
+    if distinct > len(top):
+        core = spark.sparkContext.broadcast(frequent)
+        others = cut_lineage(assigned(context_counts(train, core, classes), between, classes))
+        words = words.unionByName(others)
+        more = others.orderBy(F.desc("c"), "h").limit(max(sent_words - len(top), 0)).toPandas()
+        added = more.h.to_numpy(np.int64).view(U64), more.c.to_numpy(np.int64), more.cls.to_numpy(np.int64)
+        frequent = tuple(np.concatenate(x) for x in zip(frequent, added, strict=True))
+    return words, frequent, classes
+
+
+def unseen_classes(words: DataFrame, classes: int) -> np.ndarray:
+    """Class of a word not seen, by its last two bytes: that of most words seen once with them, or of most at all."""
+    once = cut_lineage(words.where("c = 1 and cls > 0").groupBy("e", "cls").count())
+
+    def most(df) -> DataFrame:
+        return df.agg(F.max(F.struct("count", (-F.col("cls")).alias("cls")))["cls"].alias("cls"))
+
+    overall = most(once.groupBy("cls").agg(F.sum("count").alias("count"))).first()[0]
+    found = np.full(ENDINGS, min(1, classes - 1) if overall is None else -overall)
+    for e, c in most(once.groupBy("e")).collect():
+        found[e] = -c
+    return found
+
+
+def tagged(rows: DataFrame, words: DataFrame, frequent: tuple, unseen: np.ndarray, joins: bool) -> DataFrame:
+    """(doc_id, n_tokens, n_known, gain, seq): the classes of each text's tokens as 32-bit numbers, and the sum of
+    log10(c + 1) of its tokens. With ``joins`` there are training words besides the frequent ones."""
+    model = rows.sparkSession.sparkContext.broadcast((frequent, unseen))
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, unseen = model.value
+        lexicon = Lexicon(*frequent)
+        row = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for low, data, at in text_buffers(batch.column(1)):
+                n = len(at) - 1
+                tokens, last2, text = with_ends(scan_words(data, at))
+                place, known = lexicon.find(tokens)
+                count = np.where(known, lexicon.counts[place], 0)
+                seq = np.where(known, lexicon.numbers[place], 0).astype(np.int32)
+                # the others are numbered within their text, from -1 down
+                rare = np.flatnonzero(~known)
+                rare = rare[np.lexsort((tokens[rare], text[rare]))]
+                new = np.ones(len(rare), bool)
+                new[1:] = (text[rare][1:] != text[rare][:-1]) | (tokens[rare][1:] != tokens[rare][:-1])
+                first = rare[new]
+                marks = np.searchsorted(text[first], np.arange(n + 1))
+                seq[rare] = marks[text[rare]] - np.cumsum(new)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(row + np.arange(n)),
+                        batch.column(0).slice(low, n),
+                        pa.array(np.bincount(text, minlength=n)),
+                        pa.array(np.bincount(text, count > 0, n).astype(np.int64)),
+                        pa.array(np.bincount(text, np.log10(count + 1.0), n)),
+                        _numbers(seq, np.append(0, np.cumsum(np.bincount(text, minlength=n)))),
+                        pa.ListArray.from_arrays(pa.array(marks, pa.int32()), pa.array(tokens[first].view(np.int64))),
+                        _numbers(unseen[last2[first]].astype(np.int32), marks),
+                    ],
+                    ["row", "doc_id", "n_tokens", "n_known", "gain", "seq", "h", "other"],
+                )
+                row += n
+
+    schema = "row long, doc_id long, n_tokens long, n_known long, gain double, seq binary, h array<long>, other binary"
+    found_type = "array<struct<i:int,c:long,cls:long>>"
+    now = rows.mapInArrow(local, schema)
+    if joins:
+        now = cut_lineage(now)
+        rare = now.select("row", F.posexplode("h").alias("i", "h"))
+        found = rare.join(words.select("h", "c", "cls"), "h").groupBy("row").agg(F.collect_list(F.struct("i", "c", "cls")).alias("found"))
+        now = now.drop("h").join(found, "row", "left")
+    else:
+        now = now.withColumn("found", F.lit(None).cast(found_type))
+    now = now.select("doc_id", "n_tokens", "n_known", "gain", "seq", "other", "found")
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.column(6)
+            marks = np.append(0, np.cumsum(found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
+            i, c, cls = (x.to_numpy(zero_copy_only=False) for x in found.flatten().flatten())
+            known, gain, out = batch.column(2).to_pylist(), batch.column(3).to_pylist(), []
+            for r, (seq, other) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
+                seq, other = np.frombuffer(seq, np.int32).copy(), np.frombuffer(other, np.int32).copy()
+                mine, count = slice(marks[r], marks[r + 1]), np.zeros(len(other), np.int64)
+                other[i[mine]], count[i[mine]] = cls[mine], c[mine]
+                open_ = seq < 0
+                which = -1 - seq[open_]
+                times = np.bincount(which, minlength=len(other))
+                known[r] += int(times[count > 0].sum())
+                gain[r] += float((times * np.log10(count + 1.0)).sum())
+                seq[open_] = other[which]
+                out.append(seq.tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(known, pa.int64()), pa.array(gain, pa.float64()), pa.array(out, pa.binary())],
+                ["doc_id", "n_tokens", "n_known", "gain", "seq"],
+            )
+
+    return cut_lineage(now.mapInArrow(whole, "doc_id long, n_tokens long, n_known long, gain double, seq binary"))
+
+
+def _numbers(values: np.ndarray, marks: np.ndarray) -> pa.Array:
+    """Runs of 32-bit numbers as binary values."""
+    at = (marks * 4).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def class_pairs(tags: DataFrame, classes: int) -> np.ndarray:
+    """Counts of neighbouring classes; a text follows an end, of class 0."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(classes * classes, np.int64)
+        for batch in batches:
+            for seq in batch.column(0).to_pylist():
+                c = np.frombuffer(seq, np.int32).astype(np.int64)
+                total += np.bincount(np.concatenate([[0], c[:-1]]) * classes + c, minlength=len(total))
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["pair", "c"])
+
+    pairs = tags.select("seq").mapInArrow(count, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toPandas()
+    between = np.zeros((classes, classes))
+    between.ravel()[pairs.pair.to_numpy(np.int64)] = pairs.c.to_numpy()
+    return between
 
 
 def score_documents(
-    docs: DataFrame, n_words: int = UNITS_WORDS, n_ends: int = UNITS_ENDS, classes: int = CLASSES,
+    docs: DataFrame, n_words: int = UNITS_WORDS, classes: int = CLASSES,
     sweeps: int = SWEEPS, sent_words: int = SENT_WORDS, folds: int = FOLDS, held: int = HELD,
 ) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
@@ -181,103 +432,45 @@ def score_documents(
     which has the end alone. Documents whose crc32(doc_id as text) modulo ``folds`` is ``held`` are
     scored but not learned from; a null doc_id is fold 0. Repeated rows are counted and return each.
     Without training rows, N, V and all counts are 0. Scores are log10 probabilities: base_score of the unigram
-    model with one added, score of the class model. Only doc_id and text are read.
+    model with one added, score of the class model. Only doc_id and text are read. ``n_words`` and
+    ``classes`` are least numbers.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     train = rows.where(crc_fold(folds) != held).select("text")
-    counts = cut_lineage(word_counts(train, n_ends))
+    counts = cut_lineage(word_counts(train))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "h").limit(sent_words).toPandas()
-    top = top.sort_values(["c", "h"], ascending=[False, True])
-    hashes = top.h.to_numpy(np.int64).view(U64)
-    # the end is unit 0, the most frequent words follow; -1 is a word without a unit of its own
-    units = np.full(len(top), -1, np.int64)
-    plain = np.flatnonzero(hashes != U64(END))[: n_words - 1]
-    units[plain] = 1 + np.arange(len(plain))
-    units[hashes == U64(END)] = 0
-    table = (hashes, top.c.to_numpy(np.int64), units)
-    sent = spark.sparkContext.broadcast(table)
-    n_units = n_words + n_ends
-    # at most n_units^2 counts come back
-    pairs = bigram_counts(train, sent, n_words, n_ends).toPandas()
-    matrix = np.zeros((n_units, n_units))
-    matrix.ravel()[pairs.pair.to_numpy(np.int64)] = pairs.c.to_numpy()
-    cls = exchange(matrix, classes, sweeps)
-    member = np.eye(classes)[cls]
-    between = member.T @ matrix @ member
+    words, frequent, classes = word_classes(train, counts, distinct, n_words, classes, sweeps, sent_words)
+    tags = tagged(rows, words, frequent, unseen_classes(words, classes), distinct > len(frequent[0]))
+    between = class_pairs(tags.where(crc_fold(folds) != held), classes)
     # class transition: Witten-Bell interpolation with the class unigram, itself with one added
     seen = (between > 0).sum(axis=1, keepdims=True)
     unigram = (between.sum(axis=0) + 1) / (between.sum() + classes)
     step = np.log10((between + np.maximum(seen, 1) * unigram) / (between.sum(axis=1, keepdims=True) + np.maximum(seen, 1)))
     # words and distinct words of each class, from all counts
-    own = spark.createDataFrame([(int(h), int(u)) for h, u in zip(hashes.view(np.int64)[units >= 0], units[units >= 0], strict=True)], "h long, u long")
-    sums = (
-        counts.join(F.broadcast(own), "h", "left")
-        .groupBy(F.coalesce("u", F.col("e") + n_words).alias("u"))
-        .agg(F.sum("c").alias("n"), F.count("*").alias("v"))
-        .toPandas()
-    )
-    size = np.bincount(cls[sums.u.to_numpy(np.int64)], sums.n.to_numpy(float) + sums.v.to_numpy(float), classes) + 1
-    model = spark.sparkContext.broadcast((table, cls, step - np.log10(size)[None, :]))
-    schema = "row long, doc_id long, n_tokens long, n_known long, base double, score double, h array<long>, t array<long>"
+    sums = words.groupBy("cls").agg(F.sum("c").alias("n"), F.count("*").alias("v")).toPandas()
+    size = np.bincount(sums.cls.to_numpy(np.int64), sums.n.to_numpy(float) + sums.v.to_numpy(float), classes) + 1
+    model = spark.sparkContext.broadcast(step - np.log10(size)[None, :])
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (hashes, counts, units), cls, step = model.value
-        lexicon = Lexicon(hashes, counts, units)
-        row = TaskContext.get().partitionId() << 40
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = model.value
         for batch in batches:
-            for low, data, at in text_buffers(batch.column(1)):
-                n = len(at) - 1
-                tokens, last2, text = with_ends(scan_words(data, at))
-                u, place, known = _units(lexicon, tokens, last2, n_words, n_ends)
-                c = cls[u]
-                before = np.concatenate([[cls[0]], c[:-1]])
-                gain = np.where(known, np.log10((lexicon.counts[place] if len(lexicon.counts) else np.zeros(len(u))) + 1.0), 0.0)
-                rare = ~known
-                pair, number = _per_text(text[rare], tokens[rare])
-                marks = np.searchsorted(pair[0], np.arange(n + 1))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(row + np.arange(n)),
-                        batch.column(0).slice(low, n),
-                        pa.array(np.bincount(text, minlength=n)),
-                        pa.array(np.bincount(text, known, n).astype(np.int64)),
-                        pa.array(np.bincount(text, gain, n)),
-                        pa.array(np.bincount(text, gain + step[before, c], n)),
-                        pa.ListArray.from_arrays(pa.array(marks, pa.int32()), pa.array(pair[1].view(np.int64))),
-                        pa.ListArray.from_arrays(pa.array(marks, pa.int32()), pa.array(number)),
-                    ],
-                    [c.split()[0] for c in schema.split(", ")],
-                )
-                row += n
-
-    scored = cut_lineage(rows.mapInArrow(local, schema))
-    rare = scored.select("row", F.explode(F.arrays_zip("h", "t")).alias("w")).select("row", "w.h", "w.t")
-    others = counts.select("h", "c") if distinct > len(top) else counts.select("h", "c").limit(0)
-    found = (
-        rare.join(others, "h")
-        .groupBy("row")
-        .agg(F.sum("t").alias("more"), F.sum(F.col("t") * F.log10(F.col("c") + 1.0)).alias("gain"))
-    )
+            sums = []
+            for seq in batch.column(4).to_pylist():
+                c = np.frombuffer(seq, np.int32)
+                sums.append(float(step[np.concatenate([[0], c[:-1]]), c].sum()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sums, pa.float64())], [*names, "steps"])
+
+    names = ["doc_id", "n_tokens", "n_known", "gain"]
+    scored = tags.select(*names, "seq").mapInArrow(score, "doc_id long, n_tokens long, n_known long, gain double, steps double")
     floor = F.log10(F.lit(float(total + distinct + 1)))
-    return scored.drop("h", "t").join(found, "row", "left").select(
+    return scored.select(
         "doc_id",
         (crc_fold(folds) == held).alias("held_out"),
         "n_tokens",
-        (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
+        "n_known",
         F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("gain", F.lit(0.0)) - F.col("n_tokens") * floor).alias("base_score"),
-        (F.col("score") + F.coalesce("gain", F.lit(0.0))).alias("score"),
+        (F.col("gain") - F.col("n_tokens") * floor).alias("base_score"),
+        (F.col("steps") + F.col("gain")).alias("score"),
     )
-
-
-def _per_text(text: np.ndarray, tokens: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
-    """Distinct tokens of each text, texts in order, and how often each is there."""
-    order = np.lexsort((tokens, text))
-    text, tokens = text[order], tokens[order]
-    new = np.ones(len(text), bool)
-    new[1:] = (text[1:] != text[:-1]) | (tokens[1:] != tokens[:-1])
-    begin = np.flatnonzero(new)
-    return (text[begin], tokens[begin]), np.diff(np.append(begin, len(text)))

@@ -1,4 +1,5 @@
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -64,6 +65,24 @@ def test_base_score_and_counts_equal_brute_force(odd_docs, no_docs):
     assert brown_lm.score_documents(no_docs).count() == 0
 
 
+def test_words_outside_the_core_get_classes_by_their_contexts(spark):
+    # two word sets that follow each other; all words have one ending, and the core has four words
+    rng = random.Random(4)
+    sets = [[f"{s}{i}zz" for i in range(120)] for s in "xy"]
+    word = lambda k: sets[k][0 if rng.random() < 0.4 else rng.randrange(2, 120)]
+    fold = lambda i: zlib.crc32(str(i).encode()) % 7
+    texts = {i: " ".join(word(k % 2) for k in range(40)) for i in range(700) if fold(i) != 2}
+    held = [i for i in range(700) if fold(i) == 2][:2]
+    rare = lambda k, n: sets[k][20 + n]
+    texts[held[0]] = " ".join(rare(k % 2, k // 2) for k in range(40))
+    texts[held[1]] = " ".join(rare(k // 20, k % 20) for k in range(40))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    for sent_words in (30, 10_000):
+        got = {r.doc_id: r.score for r in brown_lm.score_documents(docs, n_words=4, classes=4, sent_words=sent_words).collect()}
+        # the same words, in the order of the training texts and grouped
+        assert got[held[0]] > got[held[1]] + 10
+
+
 def test_exchange_finds_the_classes_of_a_cycle():
     # unit 0 is the end; words of class A follow those of B and the other way round
     counts = np.zeros((9, 9))
