@@ -9,13 +9,16 @@ a page marks its article, the article is the content.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -26,7 +29,8 @@ from rimlight.llm.common import cut_lineage, small_batches
 PAGES_PER_HOST, VARYING = 6, 0.5
 # Wrappers go to every task up to so many characters in all; beyond that they are joined by host.
 MAX_SENT_CHARS = 32_000_000
-MAX_ALIGNED = 80
+# Lists whose lengths have a larger product are aligned in linear space.
+SMALL_TABLE = 4096
 
 # Elements of HTML by how they nest and what they hold.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -161,11 +165,22 @@ def dropped(node: Node, inside: bool) -> bool:
     return node.no or (node.tag == "header" and not inside)
 
 
-def blocks(root: Node) -> list[tuple[str, bool, str]]:
+def _hash(*parts: str) -> int:
+    digest = hashlib.blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest()
+    return int.from_bytes(digest, "little", signed=True)
+
+
+@lru_cache(1 << 16)
+def _step(path: int, label: str) -> int:
+    """Hash of the label path from the root."""
+    return _hash(str(path), label)
+
+
+def blocks(root: Node) -> list[tuple[int, bool, str]]:
     """(path, in a marked article, text) of each text block that the rules leave, in page order."""
-    out: list[tuple[str, bool, str]] = []
+    out: list[tuple[int, bool, str]] = []
     piece: list[str] = []
-    where = ["", False]
+    where = [0, False]
 
     def flush() -> None:
         text = " ".join(unescape("".join(piece)).split())
@@ -174,7 +189,7 @@ def blocks(root: Node) -> list[tuple[str, bool, str]]:
         piece.clear()
 
     # an own stack: pages may nest deeper than Python calls
-    todo: list[tuple] = [(root, "", False, False)]
+    todo: list[tuple] = [(root, 0, False, False)]
     while todo:
         node, path, inside, done = todo.pop()
         if isinstance(node, str):
@@ -191,7 +206,7 @@ def blocks(root: Node) -> list[tuple[str, bool, str]]:
             continue
         if node.tag not in INLINE:
             flush()
-            path = f"{path}/{node.label}"
+            path = _step(path, node.label)
             inside = inside or node.tag in MAIN
             todo.append((node, path, inside, True))
         todo += [(child, path, inside, False) for child in reversed(node.children)]
@@ -199,78 +214,173 @@ def blocks(root: Node) -> list[tuple[str, bool, str]]:
     return out
 
 
-def match(a: Node, b: Node, depth: int = 60) -> list[tuple[Node, Node]]:
-    """Simple tree matching: node pairs of the largest order-preserving match with equal labels."""
-    if a.label != b.label:
-        return []
-    if depth == 0:
-        return [(a, b)]
-    x = [c for c in a.children if isinstance(c, Node) and c.tag not in VOID and c.tag not in INLINE]
-    y = [c for c in b.children if isinstance(c, Node) and c.tag not in VOID and c.tag not in INLINE]
-    # equal ends of long lists first, so that the table stays small
-    pairs = [(a, b)]
-    while len(x) > MAX_ALIGNED and y and x[0].label == y[0].label:
-        pairs += match(x.pop(0), y.pop(0), depth - 1)
-    x, y = x[:MAX_ALIGNED], y[:MAX_ALIGNED]
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    inner: dict[tuple[int, int], list] = {}
-    for i in range(1, len(x) + 1):
-        for j in range(1, len(y) + 1):
-            found = match(x[i - 1], y[j - 1], depth - 1) if x[i - 1].label == y[j - 1].label else []
-            inner[i, j] = found
-            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + len(found))
-    i, j, taken = len(x), len(y), []
-    while i and j:
-        if inner[i, j] and best[i][j] == best[i - 1][j - 1] + len(inner[i, j]):
-            taken.append(inner[i, j])
-            i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    for found in reversed(taken):
-        pairs += found
-    return pairs
-
-
 def _own_text(node: Node) -> str:
     """Text of a node outside its block children."""
-    parts = []
-    for child in node.children:
+    parts, todo = [], list(reversed(node.children))
+    while todo:
+        child = todo.pop()
         if isinstance(child, str):
             parts.append(child)
         elif child.tag in INLINE:
-            parts.append(_own_text(child))
+            todo += reversed(child.children)
     return " ".join(unescape("".join(parts)).split())
 
 
-def induce(pages: list[str]) -> list[tuple[str, str]]:
+def sketch(root: Node, texts: dict[int, tuple[int, str]] | None = None) -> np.ndarray:
+    """(3, nodes) parent, label and key of each block node in page order; a key stands for (path, text), 0 for no text.
+
+    ``texts`` is given the (path, text) of each key.
+    """
+    out: list[tuple[int, int, int]] = []
+    todo: list[tuple[Node, int, int]] = [(root, -1, 0)]
+    while todo:
+        node, parent, path = todo.pop()
+        if node.tag in VOID:
+            continue
+        if node.tag not in INLINE:
+            path, text = _step(path, node.label), _own_text(node)
+            key = _hash(str(path), text) if text else 0
+            if text and texts is not None:
+                texts[key] = path, text
+            out.append((parent, _step(0, node.label), key))
+            parent = len(out) - 1
+        todo += [(c, parent, path) for c in reversed(node.children) if isinstance(c, Node)]
+    return np.array(out, np.int64).T
+
+
+class Tree:
+    """A sketch with the children of each node, a hash of what each holds and of its children's labels."""
+
+    def __init__(self, nodes: np.ndarray):
+        self.parent, self.label, self.key = nodes.tolist()
+        n = len(self.label)
+        self.children: list[list[int]] = [[] for _ in range(n)]
+        for k in range(1, n):
+            self.children[self.parent[k]].append(k)
+        self.whole, self.shape = [0] * n, [0] * n
+        for k in range(n - 1, -1, -1):
+            inner = self.children[k]
+            self.whole[k] = hash((self.label[k], self.key[k], *[self.whole[c] for c in inner]))
+            self.shape[k] = hash((self.label[k], *[self.label[c] for c in inner]))
+
+
+def _anchors(x: list[int], y: list[int]) -> list[tuple[int, int]]:
+    """Places of values that are once in each list, as the longest run in the order of both."""
+    once = {v for v, n in Counter(x).items() if n == 1}
+    at = {v: j for j, v in enumerate(y) if v in once}
+    for v, n in Counter(y).items():
+        if n > 1:
+            at.pop(v, None)
+    found = [(i, at[v]) for i, v in enumerate(x) if v in at]
+    ends: list[int] = []
+    last: list[int] = []
+    before = [-1] * len(found)
+    for k, (_, j) in enumerate(found):
+        place = bisect_left(ends, j)
+        before[k] = last[place - 1] if place else -1
+        ends[place:place + 1], last[place:place + 1] = [j], [k]
+    out, k = [], last[-1] if last else -1
+    while k >= 0:
+        out.append(found[k])
+        k = before[k]
+    return out[::-1]
+
+
+def _aligned(lx: np.ndarray, sx: np.ndarray, ly: np.ndarray, sy: np.ndarray) -> list[tuple[int, int]]:
+    """The best order-preserving match of equal labels; equal shapes count twice. Whole lists, in linear space."""
+    n, m = len(lx), len(ly)
+    if not n or not m:
+        return []
+    if n * m <= SMALL_TABLE or n == 1:
+        best = np.zeros((n + 1, m + 1), np.int64)
+        weight = (lx[:, None] == ly) * (1 + (sx[:, None] == sy))
+        for i in range(n):
+            np.maximum.accumulate(np.maximum(best[i, 1:], best[i, :-1] + weight[i]), out=best[i + 1, 1:])
+        i, j, out = n, m, []
+        while i and j:
+            if best[i, j] == best[i - 1, j]:
+                i -= 1
+            elif best[i, j] == best[i, j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                out.append((i, j))
+        return out[::-1]
+
+    def last_row(lx: np.ndarray, sx: np.ndarray, ly: np.ndarray, sy: np.ndarray) -> np.ndarray:
+        row = np.zeros(len(ly) + 1, np.int64)
+        for label, shape in zip(lx, sx, strict=True):
+            np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (ly == label) * (1 + (sy == shape))), out=row[1:])
+        return row
+
+    half = n // 2
+    upper = last_row(lx[:half], sx[:half], ly, sy)
+    lower = last_row(lx[half:][::-1], sx[half:][::-1], ly[::-1], sy[::-1])[::-1]
+    cut = int(np.argmax(upper + lower))
+    first = _aligned(lx[:half], sx[:half], ly[:cut], sy[:cut])
+    return first + [(i + half, j + cut) for i, j in _aligned(lx[half:], sx[half:], ly[cut:], sy[cut:])]
+
+
+def _siblings(a: Tree, b: Tree, x: list[int], y: list[int]) -> list[tuple[int, int]]:
+    """Matched children: those that hold the same, in order, and between these the best match of labels."""
+    pairs = []
+
+    def ends(value_a: list[int], value_b: list[int], i: int, n: int, j: int, m: int) -> tuple[int, int, int, int]:
+        while i < n and j < m and value_a[x[i]] == value_b[y[j]]:
+            pairs.append((x[i], y[j]))
+            i, j = i + 1, j + 1
+        while i < n and j < m and value_a[x[n - 1]] == value_b[y[m - 1]]:
+            n, m = n - 1, m - 1
+            pairs.append((x[n], y[m]))
+        return i, n, j, m
+
+    i, n, j, m = ends(a.whole, b.whole, 0, len(x), 0, len(y))
+    fixed = _anchors([a.whole[k] for k in x[i:n]], [b.whole[k] for k in y[j:m]]) if i < n and j < m else []
+    low = i, j
+    for high in [*((i + p, j + q) for p, q in fixed), (n, m)]:
+        p, e, q, f = ends(a.label, b.label, low[0], high[0], low[1], high[1])
+        if p < e and q < f:
+            rows = [np.array([v[k] for k in part]) for part, tree in ((x[p:e], a), (y[q:f], b)) for v in (tree.label, tree.shape)]
+            pairs += [(x[p + s], y[q + t]) for s, t in _aligned(*rows)]
+        if high != (n, m):
+            pairs.append((x[high[0]], y[high[1]]))
+        low = high[0] + 1, high[1] + 1
+    return pairs
+
+
+def match(a: Tree, b: Tree) -> list[tuple[int, int]]:
+    """Tree matching from the root down: order-preserving pairs of nodes with equal label paths."""
+    pairs, todo = [], [(0, 0)]
+    while todo:
+        i, j = todo.pop()
+        pairs.append((i, j))
+        if a.children[i] and b.children[j]:
+            todo += _siblings(a, b, a.children[i], b.children[j])
+    return pairs
+
+
+def alike(a: Tree, b: Tree) -> set[int] | None:
+    """Keys alike at matched nodes; None if the pages do not differ: two copies of one article tell nothing of the template."""
+    same, varying = set(), 0
+    for i, j in match(a, b):
+        if a.key[i] and a.key[i] == b.key[j]:
+            same.add(a.key[i])
+        elif a.key[i]:
+            varying += 1
+    return same if varying >= VARYING * (len(same) + varying) else None
+
+
+def induce(pages: list[str]) -> list[tuple[int, str]]:
     """The template of a host: (path, text) alike at matched nodes of most pairs of pages that differ."""
-    trees = [parse(p) for p in dict.fromkeys(pages)]
-    votes: Counter[tuple[str, str]] = Counter()
-    aligned = 0
-    for tree in trees[1:]:
-        same, varying = set(), 0
-        paths = {id(trees[0]): ""}
-        for a, b in match(trees[0], tree):
-            path = paths.get(id(a), "")
-            path = f"{path}/{a.label}" if a.tag not in INLINE else path
-            for child in a.children:
-                if isinstance(child, Node):
-                    paths[id(child)] = path
-            text = _own_text(a)
-            if text and text == _own_text(b):
-                same.add((path, text))
-            elif text:
-                varying += 1
-        # two copies of one article tell nothing of the template
-        if varying >= VARYING * (len(same) + varying):
-            aligned += 1
-            votes.update(same)
-    return sorted(k for k, n in votes.items() if aligned >= 2 and 2 * n > aligned)
-
-
-def main_text(html: str, template: set[tuple[str, str]]) -> str:
+    texts: dict[int, tuple[int, str]] = {}
+    trees = [Tree(sketch(parse(p), texts)) for p in dict.fromkeys(pages)]
+    found = [alike(trees[0], tree) for tree in trees[1:]]
+    found = [same for same in found if same is not None]
+    votes = Counter(key for same in found for key in same)
+    return sorted(texts[k] for k, n in votes.items() if len(found) >= 2 and 2 * n > len(found))
+
+
+def main_text(html: str, template: set[tuple[int, str]]) -> str:
     """Content blocks of a page, joined by one space: the marked article if there is one with text,
     else all blocks that are not of the template."""
     found = blocks(parse(html))

@@ -134,3 +134,27 @@ def test_wrapper_drops_what_pages_of_a_host_share():
     assert html_extract.main_text(pages[2], template) == "first 2 second 4"
     # copies of one page are no template
     assert html_extract.induce([pages[0]] * 4) == []
+
+
+@pytest.mark.parametrize("notice", ["<div class='end'>%s</div>", "<p>%s</p>"])
+def test_closing_text_of_long_and_deep_pages_is_template(notice):
+    end = notice % "All rights"
+    page = lambda k, n: "<html><body>" + "".join(f"<p>page {k} part {i}</p>" for i in range(n)) + end + "</body></html>"
+    pages = [page(k, n) for k, n in enumerate([30, 200, 7, 150, 90])]
+    assert {t for _, t in html_extract.induce(pages)} == {"All rights"}
+    assert {t for _, t in html_extract.induce(pages[1::-1] + pages[2:])} == {"All rights"}
+    deep = ["<div>" * 900 + f"<p>one {k}</p><p>two {k}</p>{end}" + "</div>" * 900 for k in range(4)]
+    assert {t for _, t in html_extract.induce(deep)} == {"All rights"}
+
+
+def test_alignment_in_linear_space_is_as_good_as_the_table(monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [rng.integers(0, 4, n) for n in (90, 90, 130, 130)]
+
+    def total(pairs):
+        assert all(p < q and r < s for (p, r), (q, s) in zip(pairs, pairs[1:], strict=False))
+        return sum(1 + (rows[1][i] == rows[3][j]) for i, j in pairs if rows[0][i] == rows[2][j])
+
+    linear = total(html_extract._aligned(*rows))
+    monkeypatch.setattr(html_extract, "SMALL_TABLE", 10**9)
+    assert linear == total(html_extract._aligned(*rows))
