@@ -1,16 +1,16 @@
 """Main text of web pages by wrapper induction over the pages of a host.
 
-A few pages of each host are parsed and aligned by simple tree matching. Text that stands at matched
-nodes alike on pages whose other text differs belongs to the host's template; what varies is a slot.
-The wrapper, the template's (path, text) pairs, is applied to every page of the host together with
-the rules that hold for any page: navigation, forms, adverts, comments and the like are no content, and where
+All pages of a host are sketched and grouped by layout, the containers near the root; within a layout they are aligned in
+pieces by tree matching, each page with the next. Text that stands at matched
+nodes alike on pages whose other text differs belongs to the host's template if most pages of a layout have it;
+what varies is a slot. The wrapper, the keys of the template's (path, text) pairs, is applied to every page of the host
+together with the rules that hold for any page: navigation, forms, adverts, comments and the like are no content, and where
 a page marks its article, the article is the content.
 """
 
 from __future__ import annotations
 
 import hashlib
-import json
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -21,14 +21,18 @@ from html import unescape
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rimlight.llm.common import cut_lineage, small_batches
+from rimlight.llm.common import bounded_side, cut_lineage, small_batches
 
-PAGES_PER_HOST, VARYING = 6, 0.5
-# Wrappers go to every task up to so many characters in all; beyond that they are joined by host.
-MAX_SENT_CHARS = 32_000_000
+# Pages that are aligned in one piece on average; least share of aligned texts that differs.
+PIECE_PAGES, VARYING = 16, 0.5
+# Containers to this depth below the root make the layout.
+LAYOUT_DEPTH = 4
+CONTAINERS = set("html body div section article main aside header footer nav table form center".split())
+# Wrappers go to every task up to so many keys in all; beyond that they are joined by host.
+MAX_SENT_KEYS = 2_000_000
 # Lists whose lengths have a larger product are aligned in linear space.
 SMALL_TABLE = 4096
 
@@ -67,6 +71,7 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PARTS = re.compile(r"[^a-z0-9]+")
+_DIGITS = re.compile(r"[0-9]+")
 
 
 class Node:
@@ -248,6 +253,18 @@ def sketch(root: Node, texts: dict[int, tuple[int, str]] | None = None) -> np.nd
     return np.array(out, np.int64).T
 
 
+def layout(root: Node) -> int:
+    """Hash of the label paths of the containers near the root, without numbers and however often each is there."""
+    paths, todo = set(), [(root, 0, 0)]
+    while todo:
+        node, path, depth = todo.pop()
+        path = _step(path, _DIGITS.sub("", node.label))
+        paths.add(path)
+        if depth < LAYOUT_DEPTH:
+            todo += [(c, path, depth + 1) for c in node.children if isinstance(c, Node) and c.tag in CONTAINERS]
+    return _hash(*map(str, sorted(paths)))
+
+
 class Tree:
     """A sketch with the children of each node, a hash of what each holds and of its children's labels."""
 
@@ -370,17 +387,38 @@ def alike(a: Tree, b: Tree) -> set[int] | None:
     return same if varying >= VARYING * (len(same) + varying) else None
 
 
+def voted(trees: list[Tree]) -> tuple[int, Counter[int]]:
+    """(pages, votes): how many of the distinct pages differ from a neighbour in the list, closed to a ring, and
+    on how many of them each key is alike with one of these."""
+    n = len(trees)
+    pages: list[set[int] | None] = [None] * n
+    for k in range(n if n > 2 else n - 1):
+        same = alike(trees[k], trees[(k + 1) % n])
+        if same is not None:
+            for place in (k, (k + 1) % n):
+                pages[place] = (pages[place] or set()) | same
+    found = [keys for keys in pages if keys is not None]
+    return len(found), Counter(key for keys in found for key in keys)
+
+
 def induce(pages: list[str]) -> list[tuple[int, str]]:
-    """The template of a host: (path, text) alike at matched nodes of most pairs of pages that differ."""
+    """The template of pages of one layout: (path, text) alike at matched nodes, on most pages that differ."""
     texts: dict[int, tuple[int, str]] = {}
-    trees = [Tree(sketch(parse(p), texts)) for p in dict.fromkeys(pages)]
-    found = [alike(trees[0], tree) for tree in trees[1:]]
-    found = [same for same in found if same is not None]
-    votes = Counter(key for same in found for key in same)
-    return sorted(texts[k] for k, n in votes.items() if len(found) >= 2 and 2 * n > len(found))
+    n, votes = voted([Tree(sketch(parse(p), texts)) for p in dict.fromkeys(pages)])
+    return sorted(texts[k] for k, v in votes.items() if 2 * v > n)
+
+
+class Template:
+    """The (path, text) pairs of a wrapper, known by their keys."""
+
+    def __init__(self, keys: list[int]):
+        self.keys = frozenset(keys)
+
+    def __contains__(self, pair: tuple[int, str]) -> bool:
+        return bool(self.keys) and _hash(str(pair[0]), pair[1]) in self.keys
 
 
-def main_text(html: str, template: set[tuple[int, str]]) -> str:
+def main_text(html: str, template: set[tuple[int, str]] | Template) -> str:
     """Content blocks of a page, joined by one space: the marked article if there is one with text,
     else all blocks that are not of the template."""
     found = blocks(parse(html))
@@ -389,30 +427,57 @@ def main_text(html: str, template: set[tuple[int, str]]) -> str:
     return " ".join(article or [text for _, _, text in kept])
 
 
-@lru_cache(64)
-def _template(wrapper: str) -> frozenset:
-    return frozenset(map(tuple, json.loads(wrapper)))
+def sketches(pages: DataFrame) -> DataFrame:
+    """(host, layout, digest, nodes) of the distinct sketches of each host; copies are one."""
 
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            layouts, nodes = [], []
+            for html in batch.column(1).to_pylist():
+                root = parse(html)
+                layouts.append(layout(root))
+                nodes.append(sketch(root).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(layouts, pa.int64()), pa.array(nodes, pa.binary())], ["host", "layout", "nodes"]
+            )
 
-def wrappers(pages: DataFrame, per_host: int = PAGES_PER_HOST) -> DataFrame:
-    """(host, wrapper) from ``per_host`` pages of each host, chosen by a hash; hosts without template have none."""
+    known = pages.where(F.col("host").isNotNull() & (F.length("html") > 0)).select("host", "html")
+    drawn = known.mapInArrow(draw, "host string, layout long, nodes binary").withColumn("digest", F.xxhash64("nodes"))
+    return drawn.dropDuplicates(["host", "layout", "digest"])
 
-    def learn(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        found = induce(rows.sort_values("place").html.tolist())
-        return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps(found)]})
-
-    order = Window.partitionBy("host").orderBy("hash", "page_id")
-    # the limit on the rank is applied in each task before the shuffle
-    few = (
-        pages.where(F.col("host").isNotNull() & F.col("html").isNotNull())
-        .withColumn("hash", F.xxhash64("page_id", "url"))
-        .withColumn("place", F.row_number().over(order))
-        .where(F.col("place") <= per_host)
-    )
-    return few.groupBy("host").applyInPandas(learn, "host string, wrapper string").where("wrapper <> '[]'")
 
+def wrappers(pages: DataFrame, piece_pages: int = PIECE_PAGES) -> DataFrame:
+    """(host, wrapper): keys of the template, over all pages of each host; hosts without template have none.
+
+    Pages that are alone with their layout are one group of their host.
+    """
 
-def extract_text(pages: DataFrame, per_host: int = PAGES_PER_HOST) -> DataFrame:
+    def learn(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("digest")
+        n, votes = voted([Tree(np.frombuffer(x, np.int64).reshape(3, -1)) for x in rows.nodes])
+        # the pages count under no key
+        out = pd.DataFrame({"key": pd.array([None, *votes], "Int64"), "n": [n, *votes.values()]})
+        return out.assign(host=key[0], layout=key[1])[["host", "layout", "key", "n"]]
+
+    drawn = cut_lineage(sketches(pages))
+    sizes = drawn.groupBy("host", "layout").count()
+    sizes = sizes.withColumn("_layout", F.when(F.col("count") > 1, F.col("layout")))
+    totals = sizes.groupBy(F.col("host").alias("_host"), F.col("_layout").alias("_group")).agg(F.sum("count").alias("n"))
+    same = (F.col("host") == F.col("_host")) & F.col("_layout").eqNullSafe(F.col("_group"))
+    groups = sizes.join(totals.where("n > 1"), same)
+    groups = groups.select("host", "layout", "_layout", F.ceil(F.col("n") / piece_pages).alias("pieces"))
+    parts = drawn.join(bounded_side(cut_lineage(groups)), ["host", "layout"])
+    parts = parts.select("host", F.col("_layout").alias("layout"), "digest", "nodes", F.pmod("digest", "pieces").alias("piece"))
+    votes = parts.groupBy("host", "layout", "piece").applyInPandas(learn, "host string, layout long, key long, n long")
+    votes = cut_lineage(votes.groupBy("host", "layout", "key").agg(F.sum("n").alias("n")))
+    # null layouts are the pages alone with theirs
+    counted = votes.where("key is null").select(F.col("host").alias("_host"), F.col("layout").alias("_layout"), F.col("n").alias("pages"))
+    same = (F.col("host") == F.col("_host")) & F.col("layout").eqNullSafe(F.col("_layout"))
+    most = votes.where("key is not null").join(counted, same).where("2 * n > pages")
+    return most.groupBy("host").agg(F.sort_array(F.collect_set("key")).alias("wrapper"))
+
+
+def extract_text(pages: DataFrame, piece_pages: int = PIECE_PAGES) -> DataFrame:
     """One row per page: page_id, url, text, n_chars.
 
     White space inside a block is one space, blocks are joined by one. Null or empty html, and pages
@@ -423,17 +488,19 @@ def extract_text(pages: DataFrame, per_host: int = PAGES_PER_HOST) -> DataFrame:
     host = F.lower(F.regexp_extract(F.col("url"), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)", 1))
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     rows = rows.withColumn("host", F.when(host != "", host))
-    learned = cut_lineage(wrappers(rows, per_host))
-    size = learned.agg(F.coalesce(F.sum(F.length("wrapper") + F.length("host")), F.lit(0))).first()[0]
-    side = F.broadcast(learned) if size <= MAX_SENT_CHARS else learned
-    joined = rows.join(side, "host", "left").select("page_id", "url", "html", "wrapper")
+    learned = cut_lineage(wrappers(rows, piece_pages))
+    size = learned.agg(F.coalesce(F.sum(F.size("wrapper") + 1), F.lit(0))).first()[0]
+    side = F.broadcast(learned) if size <= MAX_SENT_KEYS else learned
+    joined = rows.join(side, "host", "left").select("page_id", "url", "html", "wrapper", "host")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [
-                main_text(h, _template(w) if w else frozenset()) if h else ""
-                for h, w in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-            ]
+            templates: dict[str | None, Template] = {}
+            texts = []
+            for k, (html, host) in enumerate(zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True)):
+                if host not in templates:
+                    templates[host] = Template(batch.column(3)[k].as_py() or [])
+                texts.append(main_text(html, templates[host]) if html else "")
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
                 ["page_id", "url", "text", "n_chars"],

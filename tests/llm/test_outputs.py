@@ -158,3 +158,18 @@ def test_alignment_in_linear_space_is_as_good_as_the_table(monkeypatch):
     linear = total(html_extract._aligned(*rows))
     monkeypatch.setattr(html_extract, "SMALL_TABLE", 10**9)
     assert linear == total(html_extract._aligned(*rows))
+
+
+def test_each_layout_of_a_host_has_its_template(spark):
+    one = "<html><body><div class='top'>Daily Post</div><div class='story'><p>news {0} a</p><p>more {0} b</p></div></body></html>"
+    two = "<html><body><div class='shop'><h1>item {0} c</h1><p>price {0} d</p><p>Free returns</p></div></body></html>"
+    last = "<html><body><center><p>page {0} e</p><p>text {0} f</p><p>Printed edition</p></center></body></html>"
+    rows = [("h", one, k) for k in range(60)] + [("h", two, k) for k in range(60)] + [("h", last, k) for k in range(5)]
+    rows += [("pair", one, 1), ("pair", one, 2), ("alone", one, 1), ("copies", one, 3), ("copies", one, 3)]
+    pages = [(i, f"http://{h}/{i}", page.format(k)) for i, (h, page, k) in enumerate(rows)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract_text(df).collect()}
+    for i, (host, page, k) in enumerate(rows):
+        expect = {one: f"news {k} a more {k} b", two: f"item {k} c price {k} d", last: f"page {k} e text {k} f"}[page]
+        # one page, or copies of one, tell nothing of the template
+        assert got[i] == ("Daily Post " if host in ("alone", "copies") else "") + expect
