@@ -75,12 +75,13 @@ _DIGITS = re.compile(r"[0-9]+")
 
 
 class Node:
-    __slots__ = ("children", "label", "main", "no", "tag")
+    __slots__ = ("children", "kept", "label", "main", "no", "tag")
 
     def __init__(self, tag: str, label: str, no: bool):
         self.tag, self.label, self.no = tag, label, no
         self.children: list[Node | str] = []
-        self.main = False
+        # main: is or holds an article; kept: is or holds the page's largest one
+        self.main = self.kept = False
 
 
 def _open(tag: str, attributes: str) -> Node:
@@ -99,7 +100,7 @@ def _open(tag: str, attributes: str) -> Node:
         or found.get("aria-hidden") == "true"
         or "display:none" in found.get("style", "").replace(" ", "")
     )
-    return Node(tag, ".".join([tag, *sorted(named)]), no and tag not in {"html", "body", *MAIN})
+    return Node(tag, ".".join([tag, *sorted(named)]), no and tag not in {"html", "body"})
 
 
 def parse(html: str) -> Node:
@@ -148,9 +149,37 @@ def parse(html: str) -> Node:
             stack.append(node)
     if at < len(html):
         stack[-1].children.append(html[at:])
+    _keep_largest(root)
     return root
 
 
+def _keep_largest(root: Node) -> None:
+    """Mark the page's largest article, the first of equals, and what it stands in: no rule drops these.
+
+    Its size is that of its text without what the rules drop inside, so that comments which are articles do
+    not outweigh the text that they are about, nor make it larger.
+    """
+    if not root.main:
+        return
+    # page order; each node with the place of its parent
+    nodes: list[tuple[Node, int]] = []
+    todo = [(root, -1)]
+    while todo:
+        node, above = todo.pop()
+        nodes.append((node, above))
+        todo += [(c, len(nodes) - 1) for c in reversed(node.children) if isinstance(c, Node)]
+    size = [sum(len(c.strip()) for c in node.children if isinstance(c, str)) for node, _ in nodes]
+    for k in range(len(nodes) - 1, 0, -1):
+        node, above = nodes[k]
+        if not node.no and node.tag not in RAW:
+            size[above] += size[k]
+    articles = [k for k, (node, _) in enumerate(nodes) if node.tag in MAIN]
+    k = max(articles, key=lambda k: (size[k], -k))
+    while k >= 0:
+        nodes[k][0].kept = True
+        k = nodes[k][1]
+
+
 def _end(stack: list[Node], tags: set[str], barrier: set[str]) -> None:
     for k in range(len(stack) - 1, 0, -1):
         if stack[k].tag in tags:
@@ -165,9 +194,9 @@ def _end(stack: list[Node], tags: set[str], barrier: set[str]) -> None:
 def dropped(node: Node, inside: bool) -> bool:
     if node.tag in RAW:
         return True
-    if node.main:
+    if node.kept:
         return False
-    return node.no or (node.tag == "header" and not inside)
+    return node.no or (node.tag == "header" and not inside and not node.main)
 
 
 def _hash(*parts: str) -> int:

@@ -173,3 +173,20 @@ def test_each_layout_of_a_host_has_its_template(spark):
         expect = {one: f"news {k} a more {k} b", two: f"item {k} c price {k} d", last: f"page {k} e text {k} f"}[page]
         # one page, or copies of one, tell nothing of the template
         assert got[i] == ("Daily Post " if host in ("alone", "copies") else "") + expect
+
+
+def test_articles_that_are_comments_or_teasers_are_no_content():
+    comments = "<section class=comments>" + "".join(f"<article class=comment><p>reader {k} says so</p></article>" for k in range(9)) + "</section>"
+    aside = "<aside class=related><article><h3>other news</h3></article><article>more of it</article></aside>"
+    story = "<h1>Head</h1><p>the story is told here</p>"
+    text = lambda body: html_extract.main_text(f"<html><body>{body}</body></html>", set())
+    expect = "Head the story is told here"
+    assert text(f"<article>{story}</article>{comments}{aside}") == expect
+    assert text(f"{aside}<main>{story}{comments}</main>") == expect
+    assert text(f"<article>{story}{comments}</article><div role=complementary><article>teaser</article></div>") == expect
+    # the only or largest article stays whatever it is named and stands in
+    assert text(f"<article class='post social'>{story}</article>{aside}") == expect
+    assert text(f"<main><div class=sidebar><article>{story}</article></div></main>") == expect
+    assert text(f"<form><article>{story}</article></form>") == expect
+    # further articles without such a name are content
+    assert text(f"<article>{story}</article><article>and more</article>") == expect + " and more"
