@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rimlight.llm import exact_dedup, minhash_dedup, packing, quality, toxicity
-from rimlight.llm.common import bounded_side, cut_lineage, joined, table
+from rimlight.llm.common import bounded_side, cut_lineage, table
 
 
 def _scored_in_place(docs: DataFrame, scorer, model, keep) -> DataFrame:
@@ -47,10 +47,18 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that near-duplicate links connect."""
-    verdict = minhash_dedup.near_duplicates(docs).groupBy("doc_id").agg(F.bool_or("kept").alias("kept"))
-    gone = cut_lineage(verdict.where(~F.col("kept")).select("doc_id"))
-    return joined(docs, bounded_side(gone), "doc_id", "left_anti")
+    """One row of each group that near-duplicate links connect: that of the least doc_id, null last.
+
+    Rows are told apart by their doc_id and shingle set, as null and repeated ids stand for several texts.
+    """
+    extra = cut_lineage(minhash_dedup.repeated_nodes(docs).withColumnsRenamed({"doc_id": "_id", "node": "_at"}))
+    rows = docs.withColumn("_node", minhash_dedup.node_of(F.col("text")))
+    gone = bounded_side(cut_lineage(extra.where("not stays").select("_id", "_at")))
+    rest = rows.join(gone, rows["doc_id"].cast("long").eqNullSafe(gone["_id"]) & (rows["_node"] == gone["_at"]), "left_anti")
+    if not extra.where("stays").isEmpty():
+        # several rows have the id and the shingle set of the one that stays; each text without words stays
+        rest = rest.where("_node is null").unionByName(rest.where("_node is not null").dropDuplicates(["doc_id", "_node"]))
+    return rest.drop("_node")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,8 +18,9 @@ from collections.abc import Iterator
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rimlight.llm.common import bounded_side, cut_lineage, joined, small_batches
@@ -72,6 +73,18 @@ def signature_table(docs: DataFrame, size: int, bands: int = BANDS, rows: int =
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sign, schema)
 
 
+def node_of(text: Column, size: int = 5) -> Column:
+    """The node of a text, as in ``signature_table``; null without words."""
+
+    @F.pandas_udf("long")
+    def node(texts: pd.Series) -> pd.Series:
+        sets = _sets(pa.array(texts, pa.string(), from_pandas=True), size)
+        digests = (hashlib.blake2b(x.tobytes(), digest_size=8).digest() if len(x) else None for x in sets)
+        return pd.Series([d and int.from_bytes(d, "little", signed=True) for d in digests], dtype="Int64")
+
+    return node(text.cast("string"))
+
+
 def band_keys(nodes: DataFrame, bands: int, rows: int) -> DataFrame:
     """(key, node) for each band of each node's signature."""
     width = 4 * rows
@@ -208,7 +221,7 @@ def cross_pairs(texts: DataFrame, roots: DataFrame, size: int, percent: int) ->
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def near_duplicates(
+def grouped_nodes(
     docs: DataFrame,
     size: int = 5,
     percent: int = 80,
@@ -216,16 +229,8 @@ def near_duplicates(
     rows: int = ROWS,
     batch: int = BATCH,
     miss: float = MISS,
-) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (least linked doc_id), kept.
-
-    Words are runs without ASCII white space, A-Z in lower case; a set holds the distinct runs of
-    ``size`` words, or the whole shorter text; sets link from a Jaccard similarity of ``percent``. A pair
-    at exactly that similarity shares no band once in (1 - t^rows)^bands, 1 in 20,000 by default.
-    Null and empty texts have no shingles and link with nothing. Rows repeated with their doc_id
-    return each. A null doc_id is never a component_id unless a component has no other. Only doc_id
-    and text are read. An empty table gives no rows.
-    """
+) -> tuple[DataFrame, DataFrame]:
+    """The signature table, and (node, doc_id, root): each node's least doc_id and its component."""
     spark = docs.sparkSession
     small_batches(spark)
     signed = cut_lineage(signature_table(docs, size, bands, rows))
@@ -268,7 +273,28 @@ def near_duplicates(
             links = links.unionByName(more)
     roots = components(links)
     named = nodes.select("node", "doc_id").join(roots, "node", "left")
-    named = named.withColumn("root", F.coalesce("root", "node"))
+    return signed, named.withColumn("root", F.coalesce("root", "node"))
+
+
+def near_duplicates(
+    docs: DataFrame,
+    size: int = 5,
+    percent: int = 80,
+    bands: int = BANDS,
+    rows: int = ROWS,
+    batch: int = BATCH,
+    miss: float = MISS,
+) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (least linked doc_id), kept.
+
+    Words are runs without ASCII white space, A-Z in lower case; a set holds the distinct runs of
+    ``size`` words, or the whole shorter text; sets link from a Jaccard similarity of ``percent``. A pair
+    at exactly that similarity shares no band once in (1 - t^rows)^bands, 1 in 20,000 by default.
+    Null and empty texts have no shingles and link with nothing. Rows repeated with their doc_id
+    return each. A null doc_id is never a component_id unless a component has no other. Only doc_id
+    and text are read. An empty table gives no rows.
+    """
+    signed, named = grouped_nodes(docs, size, percent, bands, rows, batch, miss)
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = named.join(least, "root").select("node", "component_id")
     return (
@@ -283,6 +309,31 @@ def near_duplicates(
     )
 
 
+def repeated_nodes(
+    docs: DataFrame,
+    size: int = 5,
+    percent: int = 80,
+    bands: int = BANDS,
+    rows: int = ROWS,
+    batch: int = BATCH,
+    miss: float = MISS,
+) -> DataFrame:
+    """(doc_id, node) of the rows that are not their component's one, by least doc_id, null last, and node.
+
+    A row is known by both, so that null and repeated ids share no verdict; rows that are equal in both do, and
+    have ``copies`` over 1 where one of them is to stay (``stays``). Rows without shingles are in no component.
+    """
+    signed, named = grouped_nodes(docs, size, percent, bands, rows, batch, miss)
+    order = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("node").alias("at"))
+    least = cut_lineage(named.groupBy("root").agg(F.min(order).alias("least")))
+    first = named.select("node", "root").join(least, "root").select("node", "least")
+    counts = signed.where("node is not null").groupBy("doc_id", "node").agg(F.count("*").alias("copies"))
+    verdict = counts.join(first, "node").withColumn(
+        "stays", F.col("doc_id").eqNullSafe(F.col("least.id")) & (F.col("node") == F.col("least.at"))
+    )
+    return verdict.where("not stays or copies > 1").select("doc_id", "node", "stays", "copies")
+
+
 def _verified(pairs, nodes, texts, size, percent, batch, miss, n) -> DataFrame:
     likely = bayes_filter(pairs, nodes, percent, batch, miss, n)
     return cut_lineage(confirm(likely, texts, size, percent))

@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 from rimlight.llm.queries import ORACLE_SQL, QUERIES
 
@@ -25,6 +27,26 @@ def test_stages_drop_what_they_should(spark, toy, tmp_path):
     assert sum(i in ids for i in range(600) if i % 7 == 0) <= 5
 
 
+def test_near_copies_with_null_or_repeated_ids_leave_one_row(spark):
+    rng = random.Random(8)
+    text = lambda: [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    one, two, three, four = text(), text(), text(), text()
+    near = lambda words, *more: " ".join([*words, *more])
+    rows = [
+        # near copies with null ids only; with a text of its own and texts without words among the null ids
+        (None, near(one)), (None, near(one, "a")), (None, near(one, "b")), (None, near(text())), (None, None), (None, ""),
+        # near copies under one id, which also has another text, the copy of another id's
+        (5, near(two)), (5, near(two, "a")), (5, near(three, "a")), (3, near(three)),
+        # equal shingle sets under one id and under null
+        (7, near(four)), (7, near(four).upper()), (None, near(four) + " "), (9, "few words"), (9, None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = [(r.doc_id, (r.text or "").lower()) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    heads = {words[0]: name for name, words in zip("1234", (one, two, three, four), strict=True)}
+    found = sorted((heads.get(t.split(" ")[0], "-"), i or 0) for i, t in left)
+    assert found == [("-", 0)] * 3 + [("-", 9)] * 2 + [("1", 0), ("2", 5), ("3", 3), ("4", 7)]
+
+
 def test_every_operator_is_registered():
     names = list(QUERIES)
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
