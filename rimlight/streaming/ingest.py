@@ -15,7 +15,7 @@ from rimlight.operators.flatten import flatten_marked
 from rimlight.operators.gate import MAX_MISSING
 from rimlight.plans.enrich import enrich_games, numeric_shots
 from rimlight.session import cut_lineage
-from rimlight.sources.game_logs import LOG_FILES, marked_logs, stream_game_logs
+from rimlight.sources.game_logs import LOG_FILES, MALFORMED, in_parts, marked_logs, stream_game_logs
 from rimlight.sources.tracking import (
     BATCH,
     latest_events,
@@ -25,8 +25,8 @@ from rimlight.sources.tracking import (
     write_batch,
 )
 
-# Beside the tracking rows: the games of each batch.
-GAMES = "_games"
+# Beside the tracking rows: the games of each batch, and those with a malformed document.
+GAMES, BAD_GAMES = "_games", "_bad_games"
 GAME_NAMES = StructType([StructField("game_id", StringType())])
 
 
@@ -47,8 +47,9 @@ def ingest_batch(
     shots: DataFrame,
     players: DataFrame,
     max_missing: int = MAX_MISSING,
-    malformed: str = "skip_game",
+    malformed: str = "skip_document",
     max_ball_dist: float = court.MAX_BALL_DISTANCE,
+    parts: bool = False,
 ) -> None:
     """One batch of documents: flatten, enrich, gate, write.
 
@@ -57,12 +58,22 @@ def ingest_batch(
     batches is enriched and gated as a whole, each event by its latest rows. Only the shots of the
     batch's games take part: with batches of up to a few thousand games they are broadcast, and no tracking
     rows but the ball's are shuffled. Each output has a folder per batch: a batch that runs again
-    after a failure overwrites its own.
+    after a failure overwrites its own. With ``parts`` a game may have several documents: with the rule
+    ``skip_game`` a malformed event in any of them, of this batch or an earlier one, drops the game.
     """
     write_batch(flatten_marked(marked_logs(docs, malformed)), paths.tracking, batch_id)
     spark = docs.sparkSession
-    now = read_batch(spark, paths.tracking, batch_id, schemas.MARKED_TRACKING).where(F.col("problem").isNull())
+    marked = read_batch(spark, paths.tracking, batch_id, schemas.MARKED_TRACKING)
+    now = marked.where(F.col("problem").isNull())
     names = now.select("game_id").distinct()
+    bad = None
+    if parts and malformed == "skip_game":
+        found = marked.where(F.col("problem") == MALFORMED).select("game_id").distinct()
+        write_batch(found, f"{paths.tracking}{BAD_GAMES}", batch_id)
+        bad = read_batches(spark, f"{paths.tracking}{BAD_GAMES}", GAME_NAMES).where(F.col(BATCH) <= batch_id)
+        bad = bad.select("game_id").distinct()
+        # a game that this batch spoils has rows in no later batch, nor are its earlier ones its latest
+        names = names.unionByName(found).distinct()
     write_batch(names, f"{paths.tracking}{GAMES}", batch_id)
     names = read_batch(spark, f"{paths.tracking}{GAMES}", batch_id, GAME_NAMES)
     tracking = now.select(*schemas.TRACKING.names)
@@ -74,6 +85,8 @@ def ingest_batch(
         parts = every.where(F.col("problem").isNull() & (F.col(BATCH) < batch_id))
         parts = parts.join(known, ["game_id", BATCH], "left_semi").select(*schemas.TRACKING.names, BATCH)
         tracking = latest_events(parts.unionByName(tracking.withColumn(BATCH, F.lit(batch_id).cast("bigint"))))
+    if bad is not None:
+        tracking = tracking.join(bad, "game_id", "left_anti")
     games = names.select(court.game_key("game_id").alias("game_id")).distinct()
     batch_shots = cut_lineage(numeric_shots(shots).join(games, "game_id", "left_semi"))
     enriched = enrich_games(tracking, batch_shots, players, max_missing, max_ball_dist=max_ball_dist)
@@ -120,7 +133,7 @@ def ingest_games(
     docs = stream_game_logs(spark, paths.source, layout, files, id_folder, **options)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        ingest_batch(batch, batch_id, paths, shots, players, **batch_options)
+        ingest_batch(batch, batch_id, paths, shots, players, parts=in_parts(layout, id_folder), **batch_options)
 
     return (
         docs.writeStream.foreachBatch(run)

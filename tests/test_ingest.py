@@ -100,3 +100,18 @@ def test_consumed_files_can_be_removed(spark, setup):
     left = {p.name for p in folder.glob("*.json")}
     assert f"{names[0]}.json" not in left and f"{names[2]}.json" in left
     assert ingested_shots(spark, paths).select("game_id").distinct().count() == 3
+
+
+@pytest.mark.parametrize("bad_first", [True, False])
+def test_malformed_line_drops_its_game_over_batches(spark, setup, bad_first):
+    logs, folder, paths, shots, players = setup
+    lines = {game: json.loads(logs[game]) for game in ("0021500001", "0021500002")}
+    bad = json.dumps({"gameid": "0021500002", "events": [{"eventId": "90", "moments": None}]})
+    parts = [bad, "\n".join(json.dumps(x) for x in lines.values())]
+    for n, text in enumerate(parts if bad_first else parts[::-1]):
+        (folder / f"{n}.json").write_text(text + "\n")
+        ingest_games(spark, paths, shots, players, layout="lines", malformed="skip_game").awaitTermination()
+        if n == 0 and not bad_first:
+            assert {r.game_id for r in ingested_shots(spark, paths).collect()} == {21500001, 21500002}
+    assert {r.game_id for r in ingested_shots(spark, paths).collect()} == {21500001}
+    assert [(r.game_id, r.problem) for r in quarantine(spark, paths).collect()] == [("0021500002", "malformed event")]

@@ -113,6 +113,21 @@ def test_lines_layout(spark, tmp_path):
     assert game_logs.quarantined_logs(docs).count() == 1
 
 
+def test_malformed_line_drops_its_whole_game(spark, tmp_path):
+    bad = {"events": [*GOOD["events"], next(iter(MALFORMED.values()))]}
+    write(tmp_path, "a.json", "\n".join(json.dumps({"gameid": f"002150000{n}", **GOOD}) for n in (1, 2)))
+    write(tmp_path, "b.json", json.dumps({"gameid": "0021500002", **bad}) + "\n{broken")
+    docs = game_logs.read_game_logs(spark, str(tmp_path), layout="lines")
+    rows = flatten_tracking(game_logs.usable_logs(docs, "skip_game"))
+    assert {(r.game_id, r["count"]) for r in rows.groupBy("game_id").count().collect()} == {("0021500001", 3)}
+    documents = flatten_tracking(game_logs.usable_logs(docs))
+    assert {r.game_id for r in documents.collect()} == {"0021500001", "0021500002"}
+    events = flatten_tracking(game_logs.usable_logs(docs, "skip_event"))
+    assert {r.game_id for r in events.collect()} == {"0021500001", "0021500002"}
+    # the documents with a problem of their own
+    assert game_logs.quarantined_logs(docs).count() == 2
+
+
 def test_unknown_names(spark, tmp_path):
     write(tmp_path, "1.json", GOOD)
     with pytest.raises(ValueError):
