@@ -9,14 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from rimlight.llm import (
     brown_lm,
+    conversation_repair,
     exact_dedup,
     hnsw,
     html_extract,
     materialise,
     minhash_dedup,
     packing,
+    prefix_trie,
     quality,
     sentencepiece_codec,
+    suffix_dedup,
     toxicity,
 )
 from rimlight.llm.common import table
@@ -38,5 +41,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_training_order": lambda s, d: materialise.materialised_documents(table(s, d, "documents")),
     "op9_sentencepiece": lambda s, d: sentencepiece_codec.coded_documents(table(s, d, "documents")),
     "op10_exact_dedup": lambda s, d: exact_dedup.exact_groups(table(s, d, "documents")),
+    "op11_conversation_repair": lambda s, d: conversation_repair.repair_report(table(s, d, "conversations")),
+    "op12_prefix_trie": lambda s, d: prefix_trie.build_trie(table(s, d, "conversations")),
+    "op13_suffix_dedup": lambda s, d: suffix_dedup.repeat_report(table(s, d, "documents")),
     "pipeline": corpus_pipeline.run,
 }
