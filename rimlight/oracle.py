@@ -559,3 +559,5 @@ ORACLE_SQL["flatten_documents"] = ORACLE_SQL["flatten_nested"].replace("SELECT *
 ORACLE_SQL["stored_shots"] = f"""WITH {ORDER_SHOTS.strip()} SELECT CAST(game_id AS VARCHAR) AS game_id, event_id,
     name_player, name_team, type_shot FROM os"""
 ORACLE_SQL["stored_players"] = "SELECT s_suppkey AS \"idPlayer\", s_name AS \"namePlayer\" FROM supplier"
+for _name in ("release_frame", "nearest_opponent", "enriched_shots"):
+    ORACLE_SQL[f"{_name}_merge"] = ORACLE_SQL[_name]

@@ -24,7 +24,7 @@ from rimlight.plans import (
 from rimlight.plans.enrich import numeric_shots
 from rimlight.plans.hexchart import chart_shots
 from rimlight.session import cut_lineage, scratch_path
-from rimlight.sources import game_logs, tables
+from rimlight.sources import game_logs, layout, tables
 from rimlight.sources import tracking as tracking_io
 from rimlight.streaming.ingest import IngestPaths, ingest_games, ingested_shots
 
@@ -441,11 +441,7 @@ def release_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("nearest_opponent")
-def nearest_opponent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames, shots, players = _frames(spark, sf_dir)
-    released = tracking.release_frames(frames, shots, players)
-    nearest = tracking.nearest_opponents(frames, released, players)
+def _opponents(nearest: DataFrame) -> DataFrame:
     return _round6(
         nearest.select(
             *tracking.SHOT_KEY,
@@ -458,6 +454,44 @@ def nearest_opponent(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("nearest_opponent")
+def nearest_opponent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames, shots, players = _frames(spark, sf_dir)
+    released = tracking.release_frames(frames, shots, players)
+    return _opponents(tracking.nearest_opponents(frames, released, players))
+
+
+@query("release_frame_merge")
+def release_frame_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``release_frame`` with nothing broadcast: tracking laid out by event."""
+    released = tracking.release_frames(*_frames(spark, sf_dir), max_broadcast=0)
+    return _round6(
+        released, "shooter_x_loc", "shooter_y_loc", "ball_x_loc", "ball_y_loc", "dist_to_ball"
+    )
+
+
+@query("nearest_opponent_merge")
+def nearest_opponent_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``nearest_opponent`` over a stored layout, with events of more than 20 rows as hot ones."""
+    frames, shots, players = _frames(spark, sf_dir)
+    path = scratch_path(spark, "layout")
+    layout.write_layout(frames, path, max_event_rows=20, slices=4)
+    laid = layout.read_layout(spark, path)
+    released = tracking.release_frames(laid, shots, players, max_broadcast=0)
+    return _opponents(tracking.nearest_opponents(laid, released, players, max_broadcast=0))
+
+
+@query("enriched_shots_merge")
+def enriched_shots_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    enriched = enrich_shots(
+        adapters.line_tracking(spark, sf_dir),
+        adapters.order_shots(spark, sf_dir),
+        adapters.supplier_players(spark, sf_dir),
+        max_broadcast=0,
+    )
+    return _round6(enriched, "distance_to_shooter")
+
+
 @query("enriched_shots")
 def enriched_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
     enriched = enrich_shots(

@@ -43,7 +43,7 @@ def skewed(tmp_path_factory):
 def hot_settings(spark, monkeypatch):
     """Small chunks, no broadcasts, and skewed partitions split from a few KB on."""
     monkeypatch.setattr(adapters, "label_streaks", partial(label_streaks, max_group_rows=200))
-    monkeypatch.setattr(tracking, "fits_broadcast", lambda df: False)
+    monkeypatch.setattr(tracking, "fits_broadcast", lambda df, *limit: False)
     keys = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
