@@ -561,3 +561,5 @@ ORACLE_SQL["stored_shots"] = f"""WITH {ORDER_SHOTS.strip()} SELECT CAST(game_id
 ORACLE_SQL["stored_players"] = "SELECT s_suppkey AS \"idPlayer\", s_name AS \"namePlayer\" FROM supplier"
 for _name in ("release_frame", "nearest_opponent", "enriched_shots"):
     ORACLE_SQL[f"{_name}_merge"] = ORACLE_SQL[_name]
+for _name in ("append", "compacted"):
+    ORACLE_SQL[f"enriched_sink_{_name}"] = ORACLE_SQL["enriched_sink"]

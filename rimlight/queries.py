@@ -24,7 +24,7 @@ from rimlight.plans import (
 from rimlight.plans.enrich import numeric_shots
 from rimlight.plans.hexchart import chart_shots
 from rimlight.session import cut_lineage, scratch_path
-from rimlight.sources import game_logs, layout, tables
+from rimlight.sources import game_logs, layout, tables, versions
 from rimlight.sources import tracking as tracking_io
 from rimlight.streaming.ingest import IngestPaths, ingest_games, ingested_shots
 
@@ -552,21 +552,49 @@ def tracking_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round6(tracking_io.read_tracking_csv(spark, path), "x_loc", "y_loc")
 
 
+def _sink_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shots = adapters.covered_shots(spark, sf_dir)
+    every = reshape.union_filled(shots, spark.createDataFrame([], schemas.ENRICHED))
+    return cut_lineage(every.select(*schemas.ENRICHED.names))
+
+
+def _sink(spark: SparkSession, path: str) -> DataFrame:
+    return tracking_io.read_enriched(spark, path).select(
+        "game_id", "event_id", "streak_col", "shooter", "type_shot", "closest_defender_distance_bin"
+    )
+
+
 @query("enriched_sink")
 def enriched_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written twice: replacing the games leaves each shot once."""
-    shots = adapters.covered_shots(spark, sf_dir)
-    rows = cut_lineage(
-        reshape.union_filled(shots, spark.createDataFrame([], schemas.ENRICHED)).select(
-            *schemas.ENRICHED.names
-        )
-    )
-    path = scratch_path(spark, "enriched")
+    rows, path = _sink_rows(spark, sf_dir), scratch_path(spark, "enriched")
     tracking_io.write_enriched(rows, path)
     tracking_io.write_enriched(rows, path)
-    return tracking_io.read_enriched(spark, path).select(
-        "game_id", "event_id", "streak_col", "shooter", "type_shot", "closest_defender_distance_bin"
-    )
+    return _sink(spark, path)
+
+
+@query("enriched_sink_append")
+def enriched_sink_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Halves of each game's shots appended; the second write is run again under its number."""
+    rows, path = _sink_rows(spark, sf_dir), scratch_path(spark, "enriched")
+    for version in (0, 1, 1):
+        half = rows.where(F.pmod(F.xxhash64("event_id"), F.lit(2)) == version)
+        tracking_io.write_enriched(half, path, mode="append", version=version)
+    return _sink(spark, path)
+
+
+@query("enriched_sink_compacted")
+def enriched_sink_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the games wrong at first, compacted, replaced, compacted again; what is left over deleted."""
+    rows, path = _sink_rows(spark, sf_dir), scratch_path(spark, "enriched")
+    some = F.pmod(F.xxhash64("game_id"), F.lit(2)) == 0
+    tracking_io.write_enriched(rows.where(~some | some.isNull()), path, mode="append")
+    tracking_io.write_enriched(rows.where(some).withColumn("streak_col", F.lit("wrong")), path)
+    tracking_io.compact_enriched(spark, path)
+    tracking_io.write_enriched(rows.where(some), path)
+    tracking_io.compact_enriched(spark, path)
+    versions.vacuum(spark, path)
+    return _sink(spark, path)
 
 
 def _ingest_paths(spark: SparkSession, source: str) -> IngestPaths:

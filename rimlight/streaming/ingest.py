@@ -14,7 +14,7 @@ from rimlight.functions import court
 from rimlight.operators.flatten import flatten_marked
 from rimlight.operators.gate import MAX_MISSING
 from rimlight.plans.enrich import enrich_games, numeric_shots
-from rimlight.session import cut_lineage
+from rimlight.session import cut_lineage, scratch_scope
 from rimlight.sources.game_logs import LOG_FILES, MALFORMED, in_parts, marked_logs, stream_game_logs
 from rimlight.sources.tracking import (
     BATCH,
@@ -40,6 +40,17 @@ class IngestPaths:
     checkpoint: str
 
 
+def earlier_tracking(spark: SparkSession, paths: IngestPaths, known: DataFrame) -> DataFrame:
+    """The tracking rows of the games in ``known`` (game_id, batch), with their batch.
+
+    Only the folders of the batches named there are scanned: their numbers, few beside the rows, are a literal filter.
+    """
+    batches = [r[0] for r in known.select(BATCH).distinct().collect()]
+    every = read_batches(spark, paths.tracking, schemas.MARKED_TRACKING).where(F.col(BATCH).isin(batches))
+    rows = every.where(F.col("problem").isNull())
+    return rows.join(known, ["game_id", BATCH], "left_semi").select(*schemas.TRACKING.names, BATCH)
+
+
 def ingest_batch(
     docs: DataFrame,
     batch_id: int,
@@ -59,8 +70,17 @@ def ingest_batch(
     batch's games take part: with batches of up to a few thousand games they are broadcast, and no tracking
     rows but the ball's are shuffled. Each output has a folder per batch: a batch that runs again
     after a failure overwrites its own. With ``parts`` a game may have several documents: with the rule
-    ``skip_game`` a malformed event in any of them, of this batch or an earlier one, drops the game.
+    ``skip_game`` a malformed event in any of them, of this batch or an earlier one, drops the game. What the batch
+    writes to the shared folder on its way is deleted at its end.
     """
+    with scratch_scope(docs.sparkSession):
+        _ingest_batch(docs, batch_id, paths, shots, players, max_missing, malformed, max_ball_dist, parts)
+
+
+def _ingest_batch(
+    docs: DataFrame, batch_id: int, paths: IngestPaths, shots: DataFrame, players: DataFrame,
+    max_missing: int, malformed: str, max_ball_dist: float, parts: bool,
+) -> None:
     write_batch(flatten_marked(marked_logs(docs, malformed)), paths.tracking, batch_id)
     spark = docs.sparkSession
     marked = read_batch(spark, paths.tracking, batch_id, schemas.MARKED_TRACKING)
@@ -81,10 +101,8 @@ def ingest_batch(
     earlier = read_batches(spark, f"{paths.tracking}{GAMES}", GAME_NAMES).where(F.col(BATCH) < batch_id)
     known = cut_lineage(earlier.join(names, "game_id", "left_semi").distinct())
     if not known.isEmpty():
-        every = read_batches(spark, paths.tracking, schemas.MARKED_TRACKING)
-        parts = every.where(F.col("problem").isNull() & (F.col(BATCH) < batch_id))
-        parts = parts.join(known, ["game_id", BATCH], "left_semi").select(*schemas.TRACKING.names, BATCH)
-        tracking = latest_events(parts.unionByName(tracking.withColumn(BATCH, F.lit(batch_id).cast("bigint"))))
+        before = earlier_tracking(spark, paths, known)
+        tracking = latest_events(before.unionByName(tracking.withColumn(BATCH, F.lit(batch_id).cast("bigint"))))
     if bad is not None:
         tracking = tracking.join(bad, "game_id", "left_anti")
     games = names.select(court.game_key("game_id").alias("game_id")).distinct()

@@ -1,11 +1,13 @@
 import json
 import random
+from pathlib import Path
 
 import pytest
 
 from rimlight import schemas
 from rimlight.operators.flatten import flatten_tracking
 from rimlight.plans import enrich_games
+from rimlight.session import shared_dir
 from rimlight.sources.game_logs import read_game_logs, usable_logs
 from rimlight.sources.tracking import read_batches
 from rimlight.streaming.ingest import IngestPaths, ingest_batch, ingest_games, ingested_shots, quarantine
@@ -67,6 +69,16 @@ def test_files_one_by_one_equal_all_at_once(spark, setup):
     assert bad.problem == "corrupt document" and bad.source_file.endswith("0021500009.json")
 
 
+def test_a_batch_leaves_nothing_in_the_shared_folder(spark, setup):
+    logs, folder, paths, shots, players = setup
+    (folder / "0021500001.json").write_text(logs["0021500001"])
+    shared = Path(shared_dir(spark).removeprefix("file:").replace("//", "/"))
+    before = set(shared.iterdir())
+    ingest_games(spark, paths, shots, players).awaitTermination()
+    assert set(shared.iterdir()) == before
+    assert ingested_shots(spark, paths).count() > 0
+
+
 def test_seen_files_are_not_read_again(spark, setup):
     logs, folder, paths, shots, players = setup
     for game, text in logs.items():

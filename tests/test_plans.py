@@ -28,7 +28,10 @@ def stored(spark, tmp_path_factory):
         "enriched": schemas.ENRICHED,
     }
     for name, schema in frames.items():
-        spark.createDataFrame([], schema).write.parquet(str(root / name))
+        if name == "enriched":
+            tracking.write_enriched(spark.createDataFrame([], schema), str(root / name), mode="append")
+        else:
+            spark.createDataFrame([], schema).write.parquet(str(root / name))
     return root
 
 
