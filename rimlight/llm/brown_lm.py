@@ -2,7 +2,8 @@
 
 Words are known by a 64-bit hash. The most frequent words are units of their own, the core; all others are one
 unit meanwhile. Exchange clustering moves core units between classes while the mutual information of
-neighbouring classes grows, on bigram counts of the whole training corpus. Each other training word then goes to the
+neighbouring classes grows, on bigram counts of the whole training corpus, which stay in Spark: a step brings back
+the best classes of some units and the totals of classes. Each other training word then goes to the
 class where its own counts of classes before and after it add most. Core and classes grow with the
 vocabulary. The probability of a word is that of its class after the class before, times that of the word within its class:
 
@@ -26,7 +27,9 @@ from rimlight.llm.common import crc_fold, cut_lineage, small_batches
 from rimlight.llm.text import U64, Words, mix, scan_words, text_buffers
 
 # At least so many; both grow with the cube root of the vocabulary.
-UNITS_WORDS, CLASSES, SWEEPS = 768, 48, 6
+UNITS_WORDS, CLASSES, SWEEPS = 768, 48, 2
+# Parts of the core that move one after another in a sweep, share of moved units that ends the sweeps, tasks of a step.
+PARTS, SETTLED, TASKS = 16, 0.02, 8
 UNITS_GROW, CLASSES_GROW = 12, 1
 ENDINGS = 1 << 16
 CELLS = 4_000_000
@@ -114,48 +117,113 @@ class Lexicon:
         return np.where(known, self.numbers[place], other)
 
 
-def bigram_counts(texts: DataFrame, shipped, units: int) -> DataFrame:
-    """(pair, c): counts of neighbouring units, as left * units + right; a text follows an end."""
+def collected(df: DataFrame) -> list[np.ndarray]:
+    """The columns of long numbers of a table of bounded size, brought over as bytes."""
+    names = df.columns
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(*shipped.value)
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [c.to_numpy(zero_copy_only=False).astype(np.int64).tobytes() for c in batch.columns]
+            yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in values], names)
 
-        def pieces() -> Iterator[tuple]:
-            for batch in batches:
-                for _, data, at in text_buffers(batch.column(0)):
-                    u = lexicon.number(with_ends(scan_words(data, at))[0], units - 1)
-                    before = np.concatenate([[0], u[:-1]])  # the end is unit 0, and stands before each text
-                    yield np.unique(before * units + u, return_counts=True)
+    rows = df.mapInArrow(pack, ", ".join(f"{n} binary" for n in names)).collect()
+    return [np.frombuffer(b"".join(bytes(r[k]) for r in rows), np.int64) for k in range(len(names))]
 
-        return _flushed(pieces(), 1, ["pair", "c"])
 
-    return texts.mapInArrow(count, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c"))
+SIDES = "u long, v0 binary, n0 binary, v1 binary, n1 binary"
 
 
-def context_counts(texts: DataFrame, shipped, classes: int) -> DataFrame:
-    """(h, e, k, n) of words outside the core: how often class k stands before, or class k - classes - 1 after.
+def _side_rows(u: np.ndarray, sides: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """One row for each of ``u``, with the entries of both sides, which are sorted by their unit."""
+    arrays = [pa.array(u)]
+    for owner, other, number in sides:
+        marks = np.searchsorted(owner, np.append(u, np.iinfo(np.int64).max))
+        arrays += [_numbers(other.astype(np.int32), marks), _longs(number.astype(np.int64), marks)]
+    return pa.RecordBatch.from_arrays(arrays, ["u", "v0", "n0", "v1", "n1"])
 
-    Class ``classes`` is that of all words outside the core. Summed within a task only.
-    """
+
+def neighbour_counts(texts: DataFrame, shipped, units: int) -> DataFrame:
+    """(u, v0, n0, v1, n1): for each unit the units after it and before it, with counts; a text follows an end."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(*shipped.value)
+        held: list[tuple] = []
+        for batch in batches:
+            for _, data, at in text_buffers(batch.column(0)):
+                u = lexicon.number(with_ends(scan_words(data, at))[0], units - 1)
+                before = np.concatenate([[0], u[:-1]])  # the end is unit 0, and stands before each text
+                held.append(np.unique(before * units + u, return_counts=True))
+                if sum(len(x[0]) for x in held) > FLUSH:
+                    held = [_summed(held, 1)]
+                    if 2 * len(held[0][0]) > FLUSH:
+                        yield packed(*held[0])
+                        held = []
+        if held:
+            yield packed(*_summed(held, 1))
+
+    def packed(pair: np.ndarray, number: np.ndarray) -> pa.RecordBatch:
+        left, right = pair // units, pair % units
+        turn = np.argsort(right, kind="stable")
+        return _side_rows(np.union1d(left, right), [(left, right, number), (right[turn], left[turn], number[turn])])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[0][0] != row[0]:
+                    yield whole(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield whole(held)
+
+    def whole(rows: list[tuple]) -> pa.RecordBatch:
+        u, sides = np.array([rows[0][0]]), []
+        for k in (1, 3):
+            other = np.frombuffer(b"".join(r[k] for r in rows), np.int32).astype(np.int64)
+            number = np.frombuffer(b"".join(r[k + 1] for r in rows), np.int64)
+            other, number = _summed([(other, number)], 1) if len(other) else (other, number)
+            sides.append((np.full(len(other), u[0]), other, number))
+        return _side_rows(u, sides)
+
+    sent = texts.mapInArrow(count, SIDES)
+    return sent.repartition("u").sortWithinPartitions("u").mapInArrow(merge, SIDES)
 
-        def pieces() -> Iterator[tuple]:
-            for batch in batches:
-                for _, data, at in text_buffers(batch.column(0)):
-                    hashes, last2, _ = with_ends(scan_words(data, at))
-                    c = lexicon.number(hashes, classes)
-                    # an end, of class 0, stands before and after each text's words
-                    other = np.flatnonzero(c == classes)
-                    before, after = np.concatenate([[0], c])[other], np.concatenate([c[1:], [0]])[other]
-                    h, e = np.tile(hashes[other], 2), np.tile(last2[other], 2)
-                    k = np.concatenate([before, after + classes + 1])
-                    yield _summed([(h, k, e, np.ones(len(h), np.int64))], 2)
 
-        return _flushed(pieces(), 2, ["h", "k", "e", "n"])
+def context_counts(texts: DataFrame, shipped, classes: int) -> DataFrame:
+    """(h, e, k, n) of words outside the core: how often class k stands before, or class k - classes - 1 after.
+
+    Class ``classes`` is that of all words outside the core. A row has all that a task has seen of a word: k and n are
+    lists of 32-bit numbers."""
 
-    return texts.mapInArrow(count, "h long, k long, e long, n long")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = Lexicon(*shipped.value)
+        held: list[tuple] = []
+        for batch in batches:
+            for _, data, at in text_buffers(batch.column(0)):
+                hashes, last2, _ = with_ends(scan_words(data, at))
+                c = lexicon.number(hashes, classes)
+                # an end, of class 0, stands before and after each text's words
+                other = np.flatnonzero(c == classes)
+                before, after = np.concatenate([[0], c])[other], np.concatenate([c[1:], [0]])[other]
+                h, e = np.tile(hashes[other], 2), np.tile(last2[other], 2)
+                k = np.concatenate([before, after + classes + 1])
+                held.append(_summed([(h, k, e, np.ones(len(h), np.int64))], 2))
+                if sum(len(x[0]) for x in held) > FLUSH:
+                    held = [_summed(held, 2)]
+                    if 2 * len(held[0][0]) > FLUSH:
+                        yield packed(*held[0])
+                        held = []
+        if held:
+            yield packed(*_summed(held, 2))
+
+    def packed(h: np.ndarray, k: np.ndarray, e: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))[: len(h)]
+        marks = np.append(first, len(h))
+        arrays = [pa.array(h[first].view(np.int64)), pa.array(e[first]), _numbers(k.astype(np.int32), marks), _numbers(n.astype(np.int32), marks)]
+        return pa.RecordBatch.from_arrays(arrays, ["h", "e", "k", "n"])
+
+    return texts.mapInArrow(count, "h long, e long, k binary, n binary")
 
 
 def assigned(contexts: DataFrame, between: np.ndarray, classes: int) -> DataFrame:
@@ -189,10 +257,17 @@ def assigned(contexts: DataFrame, between: np.ndarray, classes: int) -> DataFram
             arrays = [word[start], e[start], count[:, 0], np.argmax(gain, axis=1)]
             return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["h", "e", "c", "cls"])
 
+        def entries(batch: pa.RecordBatch) -> list[np.ndarray]:
+            word, e = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:2])
+            lists = [c.to_pylist() for c in batch.columns[2:]]
+            count = np.fromiter((len(x) >> 2 for x in lists[0]), np.int64, len(word))
+            k, n = (np.frombuffer(b"".join(x), np.int32).astype(np.int64) for x in lists)
+            return [np.repeat(word, count), k, np.repeat(e, count), n]
+
         # a word's rows are next to each other; its last batch may not have all of them
         held: list[np.ndarray] | None = None
         for batch in batches:
-            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            now = entries(batch)
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now, strict=True)]
             cut = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
@@ -202,6 +277,7 @@ def assigned(contexts: DataFrame, between: np.ndarray, classes: int) -> DataFram
         if held is not None and len(held[0]):
             yield of(*held)
 
+    # a task gets some ten thousand words at a time
     return contexts.repartition("h").sortWithinPartitions("h").mapInArrow(best, "h long, e long, c long, cls long")
 
 
@@ -272,6 +348,119 @@ def exchange_pairs(
     return cls, between
 
 
+def _likelihood(between: np.ndarray) -> float:
+    """What the class of the neighbour tells: the part of the log likelihood that depends on the classes."""
+
+    def h(x: np.ndarray) -> float:
+        return float((x * np.log(np.maximum(x, 1))).sum())
+
+    return h(between) - h(between.sum(axis=0)) - h(between.sum(axis=1))
+
+
+def _unit_rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    for u, v0, n0, v1, n1 in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        yield u, np.frombuffer(v0, np.int32), np.frombuffer(n0, np.int64), np.frombuffer(v1, np.int32), np.frombuffer(n1, np.int64)
+
+
+def class_table(sides: DataFrame, cls: np.ndarray, size: int) -> np.ndarray:
+    """Counts of neighbouring classes of units."""
+    shipped = sides.sparkSession.sparkContext.broadcast(cls)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cls, total = shipped.value, np.zeros((size, size))
+        for batch in batches:
+            for u, v0, n0, _, _ in _unit_rows(batch):
+                total[cls[u]] += np.bincount(cls[v0], n0, size)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total.ravel()[used].astype(np.int64))], ["pair", "c"])
+
+    # a few tasks, and a number for each pair of classes from each: no shuffle is worth its tasks
+    pair, c = collected(sides.mapInArrow(count, "pair long, c long"))
+    return np.bincount(pair, c, size * size).reshape(size, size)
+
+
+def best_moves(sides: DataFrame, cls: np.ndarray, between: np.ndarray, classes: int, some: np.ndarray) -> list[np.ndarray]:
+    """(unit, class, gain in millionths) of the units among ``some`` that another class would suit better, each alone."""
+    shipped = sides.sparkSession.sparkContext.broadcast((cls, between, some))
+    size = len(between)
+
+    def h(x: np.ndarray) -> np.ndarray:
+        return x * np.log(np.maximum(x, 1))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cls, whole, some = shipped.value
+        found = []
+        for batch in batches:
+            for u, v0, n0, v1, n1 in _unit_rows(batch):
+                if not some[u]:
+                    continue
+                a = cls[u]
+                out, into = np.bincount(cls[v0], n0, size), np.bincount(cls[v1], n1, size)
+                own = float(n0[v0 == u].sum())
+                out[a] -= own
+                into[a] -= own
+                between = whole.copy()
+                between[a] -= out
+                between[:, a] -= into
+                between[a, a] -= own
+                # wherever u goes, classes before and after it regain their pairs with it
+                rows, cols = between.sum(axis=1) + into, between.sum(axis=0) + out
+                base = h(between)
+                gain = (h(between + out) - base).sum(axis=1) + (h(between + into[:, None]) - base).sum(axis=0)
+                corner = np.diag(between)
+                gain += h(corner + out + into + own) - h(corner + out) - h(corner + into) + h(corner)
+                gain -= h(rows + out.sum() + own) - h(rows) + h(cols + into.sum() + own) - h(cols)
+                gain[0] = gain[classes:] = -np.inf
+                b = int(np.argmax(gain))
+                if gain[b] > gain[a] + 1e-6:
+                    found.append((u, b, int(1e6 * (gain[b] - gain[a]))))
+        arrays = [pa.array(x, pa.int64()) for x in (zip(*found, strict=True) if found else ([], [], []))]
+        yield pa.RecordBatch.from_arrays(arrays, ["u", "b", "gain"])
+
+    return collected(sides.mapInArrow(best, "u long, b long, gain long"))
+
+
+def exchange_sweeps(sides: DataFrame, units: int, classes: int, sweeps: int, parts: int = PARTS) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """(class of each unit, counts of neighbouring classes, likelihood after each step), with the units' counts in Spark.
+
+    Unit 0 is the end, a class of its own; the last unit stands for all words outside the core and keeps the class
+    ``classes``. A step asks the tasks for the best class of a part of the units, each as if it moved alone, and
+    moves them together; as neighbours may move at once, a step that would lower the likelihood is halved, the
+    smaller gains going first, until it does not. So the likelihood never falls. Only classes and class totals come back.
+    """
+    size = classes + 1
+    volume = np.zeros(units)
+    totals = sides.select("u", (F.octet_length("v0") + F.octet_length("v1")).cast("long").alias("n"))
+    u, n = collected(totals)
+    volume[u] = n
+    order = [u for u in np.argsort(-volume, kind="stable") if 0 < u < units - 1]
+    cls = np.zeros(units, np.int64)
+    cls[order] = 1 + np.arange(len(order)) % max(classes - 1, 1) if classes > 1 else 0
+    cls[units - 1] = classes
+    between = class_table(sides, cls, size)
+    steps = [_likelihood(between)]
+    part_of = np.full(units, -1)
+    part_of[order] = np.arange(len(order)) % parts
+    for _ in range(sweeps if classes > 2 else 0):
+        moved = 0
+        for part in range(parts):
+            u, b, gain = best_moves(sides, cls, between, classes, part_of == part)
+            by = np.argsort(-gain, kind="stable")
+            while len(by):
+                new = cls.copy()
+                new[u[by]] = b[by]
+                table = class_table(sides, new, size)
+                if _likelihood(table) > steps[-1]:
+                    cls, between = new, table
+                    steps.append(_likelihood(table))
+                    moved += len(by)
+                    break
+                by = by[: len(by) // 2]
+        if moved <= len(order) * SETTLED:
+            break
+    return cls, between, steps
+
+
 def word_classes(
     train: DataFrame, counts: DataFrame, distinct: int, n_words: int, classes: int, sweeps: int, sent_words: int
 ) -> tuple[DataFrame, tuple, int]:
@@ -283,27 +472,25 @@ def word_classes(
     root = distinct ** (1 / 3)
     n_words, classes = max(n_words, round(UNITS_GROW * root)), max(classes, round(CLASSES_GROW * root))
     end = int(np.array([END], U64).view(np.int64)[0])
-    top = counts.orderBy(F.col("h") != end, F.desc("c"), "h").limit(min(n_words, sent_words)).toPandas()
-    top = top.sort_values(["c", "h"], ascending=[False, True])
-    top = top.iloc[np.argsort(top.h.to_numpy() != end, kind="stable")]
-    hashes, ends, number = (top[x].to_numpy(np.int64) for x in "hec")
-    if not len(top):
+    hashes, ends, number = collected(counts.orderBy(F.col("h") != end, F.desc("c"), "h").limit(min(n_words, sent_words)).select("h", "e", "c"))
+    order = np.lexsort((hashes, -number, hashes != end))
+    hashes, ends, number = hashes[order], ends[order], number[order]
+    if not len(hashes):
         return counts.withColumn("cls", F.lit(0).cast("long")), (np.array([END], U64), np.zeros(1, np.int64), np.zeros(1, np.int64)), classes
     # unit 0 is the end; the last one stands for all words outside the core
-    units = len(top) + 1
-    core = spark.sparkContext.broadcast((hashes.view(U64), number, np.arange(len(top))))
-    pairs = bigram_counts(train, core, units).toPandas()
-    pair = pairs.pair.to_numpy(np.int64)
-    cls, between = exchange_pairs(pair // units, pair % units, pairs.c.to_numpy(np.int64), units, classes, sweeps, rest=True)
+    units = len(hashes) + 1
+    core = spark.sparkContext.broadcast((hashes.view(U64), number, np.arange(len(hashes))))
+    sides = cut_lineage(neighbour_counts(train, core, units).coalesce(TASKS))
+    cls, between, _ = exchange_sweeps(sides, units, classes, sweeps)
     own = list(zip(*(x.tolist() for x in (hashes, ends, number, cls[:-1])), strict=True))
     words = spark.createDataFrame(own, "h long, e long, c long, cls long")
     frequent = hashes.view(U64), number, cls[:-1]
-    if distinct > len(top):
+    if distinct > len(hashes):
         core = spark.sparkContext.broadcast(frequent)
         others = cut_lineage(assigned(context_counts(train, core, classes), between, classes))
         words = words.unionByName(others)
-        more = others.orderBy(F.desc("c"), "h").limit(max(sent_words - len(top), 0)).toPandas()
-        added = more.h.to_numpy(np.int64).view(U64), more.c.to_numpy(np.int64), more.cls.to_numpy(np.int64)
+        h, c, k = collected(others.orderBy(F.desc("c"), "h").limit(max(sent_words - len(hashes), 0)).select("h", "c", "cls"))
+        added = h.view(U64), c, k
         frequent = tuple(np.concatenate(x) for x in zip(frequent, added, strict=True))
     return words, frequent, classes
 
@@ -404,6 +591,11 @@ def _numbers(values: np.ndarray, marks: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(values))])
 
 
+def _longs(values: np.ndarray, marks: np.ndarray) -> pa.Array:
+    """Runs of 64-bit numbers as binary values."""
+    return _numbers(np.ascontiguousarray(values).view(np.int32), 2 * marks)
+
+
 def class_pairs(tags: DataFrame, classes: int) -> np.ndarray:
     """Counts of neighbouring classes; a text follows an end, of class 0."""
 
@@ -416,9 +608,9 @@ def class_pairs(tags: DataFrame, classes: int) -> np.ndarray:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["pair", "c"])
 
-    pairs = tags.select("seq").mapInArrow(count, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toPandas()
+    pair, c = collected(tags.select("seq").mapInArrow(count, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")))
     between = np.zeros((classes, classes))
-    between.ravel()[pairs.pair.to_numpy(np.int64)] = pairs.c.to_numpy()
+    between.ravel()[pair] = c
     return between
 
 

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from rimlight.llm import brown_lm, quality, toxicity
 from rimlight.llm.text import scan_words, shingle_hashes, text_buffers
@@ -111,3 +112,29 @@ def test_no_single_move_of_a_unit_raises_the_likelihood():
             other = classes.copy()
             other[u] = k
             assert likelihood(other) <= best + 1e-6
+
+
+def test_sweeps_in_spark_never_lower_the_likelihood(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words[2 * rng.integers(0, 30) + k % 2] for k in range(30)) for _ in range(80)]
+    train = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    hashes = brown_lm.with_ends(scan_words(*next(x[1:] for x in text_buffers(pa.array([" ".join(words)])))))[0]
+    hashes = np.append([np.uint64(brown_lm.END)], hashes[:-1])
+    shipped = spark.sparkContext.broadcast((hashes, np.ones(61, np.int64), np.arange(61)))
+    sides = brown_lm.cut_lineage(brown_lm.neighbour_counts(train, shipped, 62))
+    # counts of neighbours are those of the texts, from either side
+    index = {w: i + 1 for i, w in enumerate(words)}
+    counts = np.zeros((62, 62))
+    for t in texts:
+        at = [0, *(index[w] for w in t.split()), 0]
+        np.add.at(counts, (at[:-1], at[1:]), 1)
+    for r in sides.collect():
+        row = np.bincount(np.frombuffer(r.v0, np.int32), np.frombuffer(r.n0, np.int64), 62)
+        column = np.bincount(np.frombuffer(r.v1, np.int32), np.frombuffer(r.n1, np.int64), 62)
+        assert (row == counts[r.u]).all() and (column == counts[:, r.u]).all()
+    cls, between, steps = brown_lm.exchange_sweeps(sides, 62, 5, 6, parts=4)
+    assert len(steps) > 2 and all(b > a for a, b in zip(steps, steps[1:], strict=False))
+    onehot = np.eye(6)[cls]
+    assert (onehot.T @ counts @ onehot == between).all() and cls[0] == 0 and cls[61] == 5
+    assert set(cls[1:61:2]).isdisjoint(cls[2:61:2])
