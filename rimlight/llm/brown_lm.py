@@ -32,7 +32,7 @@ UNITS_WORDS, CLASSES, SWEEPS = 768, 48, 2
 PARTS, SETTLED, TASKS = 16, 0.02, 8
 UNITS_GROW, CLASSES_GROW = 12, 1
 ENDINGS = 1 << 16
-CELLS = 4_000_000
+CELLS, FEW = 4_000_000, 8
 SENT_WORDS = 65_536
 FOLDS, HELD = 7, 2
 FLUSH = 400_000
@@ -237,6 +237,9 @@ def assigned(contexts: DataFrame, between: np.ndarray, classes: int) -> DataFram
         table = np.concatenate([between[:, :classes], between[:classes].T])
         base = h(table)
         rows, cols = between[:classes].sum(axis=1), between[:, :classes].sum(axis=0)
+        # most words come a few times: what that many pairs or words add is known beforehand
+        added = np.stack([h(table + n) - base for n in range(1, FEW + 1)])
+        taken = np.stack([h(rows + n) - h(rows) + h(cols + n) - h(cols) for n in range(FEW + 1)])
 
         def of(word: np.ndarray, k: np.ndarray, e: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
             word, k, e, n = _summed([(word, k, e, n)], 2)
@@ -247,11 +250,17 @@ def assigned(contexts: DataFrame, between: np.ndarray, classes: int) -> DataFram
             while low < len(start):
                 high = max(int(np.searchsorted(start, start[low] + step)), low + 1)
                 a, b = start[low], start[high] if high < len(start) else len(word)
-                more = h(table[k[a:b]] + n[a:b, None]) - base[k[a:b]]
+                near, times = k[a:b], n[a:b]
+                more = added[np.minimum(times, FEW) - 1, near]
+                many = np.flatnonzero(times > FEW)
+                more[many] = h(table[near[many]] + times[many, None]) - base[near[many]]
                 gain[low:high] = np.add.reduceat(more, start[low:high] - a, axis=0)
                 low = high
             count = np.add.reduceat(np.where(k <= classes, n, 0), start)[:, None]
-            gain -= h(rows + count) - h(rows) + h(cols + count) - h(cols)
+            often = np.flatnonzero(count[:, 0] > FEW)
+            own = taken[np.minimum(count[:, 0], FEW)]
+            own[often] = h(rows + count[often]) - h(rows) + h(cols + count[often]) - h(cols)
+            gain -= own
             if classes > 1:
                 gain[:, 0] = -np.inf
             arrays = [word[start], e[start], count[:, 0], np.argmax(gain, axis=1)]
@@ -369,30 +378,31 @@ def class_table(sides: DataFrame, cls: np.ndarray, size: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cls, total = shipped.value, np.zeros((size, size))
         for batch in batches:
-            for u, v0, n0, _, _ in _unit_rows(batch):
-                total[cls[u]] += np.bincount(cls[v0], n0, size)
+            for u, v0, n0 in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                total[cls[u]] += np.bincount(cls[np.frombuffer(v0, np.int32)], np.frombuffer(n0, np.int64), size)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total.ravel()[used].astype(np.int64))], ["pair", "c"])
 
     # a few tasks, and a number for each pair of classes from each: no shuffle is worth its tasks
-    pair, c = collected(sides.mapInArrow(count, "pair long, c long"))
+    pair, c = collected(sides.select("u", "v0", "n0").mapInArrow(count, "pair long, c long"))
     return np.bincount(pair, c, size * size).reshape(size, size)
 
 
-def best_moves(sides: DataFrame, cls: np.ndarray, between: np.ndarray, classes: int, some: np.ndarray) -> list[np.ndarray]:
-    """(unit, class, gain in millionths) of the units among ``some`` that another class would suit better, each alone."""
-    shipped = sides.sparkSession.sparkContext.broadcast((cls, between, some))
+def best_moves(sides: DataFrame, cls: np.ndarray, between: np.ndarray, classes: int) -> list[np.ndarray]:
+    """(unit, class, gain in millionths) of the units that another class would suit better, each alone."""
+    shipped = sides.sparkSession.sparkContext.broadcast((cls, between))
+    last = len(cls) - 1
     size = len(between)
 
     def h(x: np.ndarray) -> np.ndarray:
         return x * np.log(np.maximum(x, 1))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cls, whole, some = shipped.value
+        cls, whole = shipped.value
         found = []
         for batch in batches:
             for u, v0, n0, v1, n1 in _unit_rows(batch):
-                if not some[u]:
+                if not 0 < u < last:
                     continue
                 a = cls[u]
                 out, into = np.bincount(cls[v0], n0, size), np.bincount(cls[v1], n1, size)
@@ -439,12 +449,10 @@ def exchange_sweeps(sides: DataFrame, units: int, classes: int, sweeps: int, par
     cls[units - 1] = classes
     between = class_table(sides, cls, size)
     steps = [_likelihood(between)]
-    part_of = np.full(units, -1)
-    part_of[order] = np.arange(len(order)) % parts
     for _ in range(sweeps if classes > 2 else 0):
         moved = 0
         for part in range(parts):
-            u, b, gain = best_moves(sides, cls, between, classes, part_of == part)
+            u, b, gain = best_moves(sides.where(F.col("u") % parts == part), cls, between, classes)
             by = np.argsort(-gain, kind="stable")
             while len(by):
                 new = cls.copy()
