@@ -29,7 +29,7 @@ from rimlight.llm.text import U64, Words, mix, scan_words, text_buffers
 # At least so many; both grow with the cube root of the vocabulary.
 UNITS_WORDS, CLASSES, SWEEPS = 768, 48, 2
 # Parts of the core that move one after another in a sweep, share of moved units that ends the sweeps, tasks of a step.
-PARTS, SETTLED, TASKS = 16, 0.02, 8
+PARTS, SETTLED, TASKS = 16, 0.02, 4
 UNITS_GROW, CLASSES_GROW = 12, 1
 ENDINGS = 1 << 16
 CELLS, FEW = 4_000_000, 8
@@ -238,7 +238,7 @@ def assigned(contexts: DataFrame, between: np.ndarray, classes: int) -> DataFram
         base = h(table)
         rows, cols = between[:classes].sum(axis=1), between[:, :classes].sum(axis=0)
         # most words come a few times: what that many pairs or words add is known beforehand
-        added = np.stack([h(table + n) - base for n in range(1, FEW + 1)])
+        added = np.stack([h(table + n) - base for n in range(1, FEW + 1)]).astype(np.float32)
         taken = np.stack([h(rows + n) - h(rows) + h(cols + n) - h(cols) for n in range(FEW + 1)])
 
         def of(word: np.ndarray, k: np.ndarray, e: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
