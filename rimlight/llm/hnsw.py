@@ -179,7 +179,8 @@ def packed(arrays: dict[str, np.ndarray]) -> bytes:
 def indexed(rows: DataFrame, shards: int, k: int) -> DataFrame:
     """(shard, dim, index) with each shard's graph over its distinct vectors, as flat arrays.
 
-    Of the ids of equal vectors the k + 1 least stay: no query can have more of them among its k.
+    Of equal vectors at most k rows of an id stay, and the 2 k of least ids among those: a query leaves out the rows
+    of one id, at most k of them, and takes no more than k of the others.
     """
 
     def build(key: tuple, points: pd.DataFrame) -> pd.DataFrame:
@@ -187,8 +188,11 @@ def indexed(rows: DataFrame, shards: int, k: int) -> DataFrame:
         x, place = np.unique(np.stack(points.v.to_numpy()), axis=0, return_inverse=True)
         order = np.argsort(place.ravel(), kind="stable")
         place, ids = place.ravel()[order], points.vec_id.to_numpy()[order]
+        start = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (ids[1:] != ids[:-1])])
+        copy = np.arange(len(place)) - np.repeat(start, np.diff(np.r_[start, len(place)]))
+        place, ids = place[copy < k], ids[copy < k]
         nth = np.arange(len(place)) - np.searchsorted(place, place)
-        few = nth <= k
+        few = nth < 2 * k
         members, real = (np.zeros((len(x), nth[few].max() + 1), t) for t in (np.int64, bool))
         members[place[few], nth[few]] = ids[few]
         real[place[few], nth[few]] = True
@@ -199,7 +203,7 @@ def indexed(rows: DataFrame, shards: int, k: int) -> DataFrame:
 
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(shards)).cast("int"))
     # one task for each shard: the work is in the graphs, not in the bytes that adaptive plans go by
-    dealt = dealt.repartition(shards, "shard")
+    dealt = dealt.repartitionById(shards, "shard")
     return dealt.groupBy("shard", "dim").applyInPandas(build, "shard int, dim int, index binary")
 
 

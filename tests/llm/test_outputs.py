@@ -50,6 +50,27 @@ def test_nearest_equals_brute_force_on_a_small_table(spark):
     assert hnsw.nearest(table.limit(0)).count() == 0
 
 
+def test_repeated_ids_of_equal_vectors_hide_no_other_id(spark):
+    rng = np.random.default_rng(5)
+    near = [1.0, 1.0, 1.0, 1.0]
+    rows = [(20, near)] * 25 + [(i, near) for i in range(100, 110)]
+    rows += [(i, [float(f) for f in 0.1 * rng.normal(size=4)]) for i in range(201, 260)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = hnsw.nearest(table, k=10, min_shards=2).where("query_id = 20").orderBy("rank").collect()
+    assert [r.vec_id for r in found] == list(range(100, 110))
+    other = hnsw.nearest(table, k=10, min_shards=2).where("query_id = 100").orderBy("rank").collect()
+    assert [r.vec_id for r in other] == [20] * 10
+
+
+def test_shards_are_dealt_one_a_task(spark):
+    rows = spark.range(600).selectExpr("id vec_id", "array(id + 1.0D, 2.0D) v", "2 dim")
+    graphs = hnsw.indexed(rows, 6, 3)
+    plan = graphs._jdf.queryExecution().toString()
+    assert plan.count("Exchange") == 1
+    parts = graphs.rdd.glom().map(len).collect()
+    assert parts == [1] * 6
+
+
 def test_feistel_is_a_permutation():
     for n in (1, 2, 7, 1000, 4096):
         assert sorted(materialise.feistel(np.arange(n), n)) == list(range(n))
