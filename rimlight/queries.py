@@ -27,6 +27,7 @@ from rimlight.session import cut_lineage, scratch_path
 from rimlight.sources import game_logs, layout, tables, versions
 from rimlight.sources import tracking as tracking_io
 from rimlight.streaming.ingest import IngestPaths, ingest_games, ingested_shots
+from rimlight.streaming.streak_state import carry_streaks, correct_streaks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -80,6 +81,28 @@ def streak_labels_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shots.select("event_id", "shooter", streaks.streak_or_zero().alias("streak_col"))
 
 
+def _game_batches(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The unlabelled shots, a day a game, as three batches: every other week, the weeks between with all results of
+    some games turned round, and those games again."""
+    shots = adapters.event_shots(spark, sf_dir).drop("streak_col")
+    shots = cut_lineage(shots.withColumn("game_id", F.unix_date(F.col("ts").cast("date")).cast("bigint")))
+    late = F.floor(F.col("game_id") / 7) % 2 == 1
+    again = late & (F.col("game_id") % 3 == 0)
+    turned = F.col("is_shot_made") != again
+    return [shots.where(~late), shots.where(late).withColumn("is_shot_made", turned), shots.where(again)]
+
+
+@query("streak_labels_batches")
+def streak_labels_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels carried over three batches, with late games and games sent again."""
+    state, stored = scratch_path(spark, "streaks"), scratch_path(spark, "labelled")
+    for batch, shots in enumerate(_game_batches(spark, sf_dir)):
+        labelled = carry_streaks(shots, state, batch, order=("ts", "event_id"))
+        versions.add_version(labelled, stored, shots, batch)
+    shots = correct_streaks(versions.read_versions(spark, stored, labelled.schema), state)
+    return shots.select("event_id", "shooter", streaks.streak_or_zero().alias("streak_col"))
+
+
 @query("streak_label_counts")
 def streak_label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     shots = adapters.streak_shots(spark, sf_dir)
