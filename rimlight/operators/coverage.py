@@ -14,6 +14,21 @@ from rimlight.sources.tables import coverage_shots, known_results, total_shots
 COVERAGES = ["Open", "Tight"]
 
 
+# What sums kept by batch (``sources.kept``) are keyed by.
+COVERAGE_KEYS = ["shooter", "streak_col", "coverage"]
+COVERAGE_SUMS = ["shots", "with_attempt", "attempted", "n", "fgm", "fga", "threes", "made_threes"]
+
+
+def coverage_measures() -> dict[str, Column]:
+    """What a shot adds to the sums of the coverage table, all whole numbers; null counts as 0."""
+    made, attempted = court.flag("is_shot_made"), court.flag("is_shot_attempted")
+    known = F.col("is_shot_made").isNotNull() & F.col("is_shot_attempted").isNotNull()
+    three = F.coalesce(court.is_three("type_shot"), F.lit(False)).cast("int")
+    results = [F.when(known, value) for value in (F.lit(1), made, attempted, three, three * made)]
+    values = [F.lit(1), attempted.isNotNull().cast("int"), attempted, *results]
+    return dict(zip(COVERAGE_SUMS, values, strict=True))
+
+
 def _shooting_sums() -> list[Column]:
     return [
         F.sum(court.flag("is_shot_made")).alias("fgm"),

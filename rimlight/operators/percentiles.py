@@ -54,17 +54,27 @@ def percentile_breaks(
 ) -> DataFrame:
     """``percent`` (0 ... ``steps``) and ``breakpoint``: exact, interpolated, nulls left out.
 
-    Equal values are first counted, so a value that fills the column is one row. The distinct
-    values are cut into buckets by approximate quantiles, which only balance the work: ranks are
-    exact running counts within a bucket plus the counts of the buckets below.
+    Equal values are first counted, so a value that fills the column is one row.
     """
     value = F.col(column).cast("double")
-    counts = cut_lineage(
+    counts = (
         df.select(value.alias("value"))
         .where(F.col("value").isNotNull() & ~F.isnan("value"))
         .groupBy("value")
         .agg(F.count(F.lit(1)).alias("n_value"))
     )
+    return breaks_of_counts(counts, steps, max_bucket_values)
+
+
+def breaks_of_counts(
+    counts: DataFrame, steps: int = STEPS, max_bucket_values: int = MAX_BUCKET_VALUES
+) -> DataFrame:
+    """The breakpoints from distinct values with their numbers of rows (value, n_value).
+
+    The values are cut into buckets by approximate quantiles, which only balance the work: ranks are
+    exact running counts within a bucket plus the counts of the buckets below.
+    """
+    counts = cut_lineage(counts)
     buckets = _buckets(counts, max_bucket_values)
     running = Window.partitionBy("bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     ranked = (

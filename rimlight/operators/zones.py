@@ -16,35 +16,52 @@ from rimlight.sources.tables import in_seasons, known_results
 ZONE = ["zone_range", "name_zone"]
 
 
-def _whole_sum(value: Column, chosen: Column) -> Column:
-    """Sum over the chosen rows, null if any of them has no value."""
-    picked = F.when(chosen, value)
-    return F.when(F.count(picked) == F.count_if(chosen), F.coalesce(F.sum(picked), F.lit(0)))
+# What sums kept by batch (``sources.kept``) are keyed by.
+SUM_KEYS = ["shooter", "slug_season", "streak_col", *ZONE]
+SUM_NAMES = ["rows", "made", "attempts", "typed", "type_points", "points"]
 
 
-def _streak_sums(chosen: Column) -> list[Column]:
-    made = court.flag("is_shot_made")
+def zone_measures() -> dict[str, Column]:
+    """What a shot with a known result adds to the sums, all whole numbers; 0 for any other shot where kept."""
+    made, points = court.flag("is_shot_made"), court.value_by_type("type_shot")
+    known = F.col("is_shot_made").isNotNull() & F.col("is_shot_attempted").isNotNull()
+    values = [
+        F.lit(1),
+        made,
+        court.flag("is_shot_attempted"),
+        points.isNotNull().cast("int"),
+        made * points,
+        made * court.value_by_zone("zone_basic"),
+    ]
+    return {name: F.when(known, value) for name, value in zip(SUM_NAMES, values, strict=True)}
+
+
+def _parts(shots: DataFrame, summed: bool) -> tuple[DataFrame, dict[str, Column]]:
+    """The rows to add up and their measures: shots with a known result, or sums kept of them."""
+    return (shots, {n: F.col(n) for n in SUM_NAMES}) if summed else (known_results(shots), zone_measures())
+
+
+def _streak_sums(measures: dict[str, Column], chosen: Column) -> list[Column]:
+    """Attempts, makes and points of the chosen rows; points are null if any of them has no type."""
+
+    def total(name: str) -> Column:
+        return F.sum(F.when(chosen, measures[name]))
+
+    whole = F.coalesce(total("typed") == total("rows"), F.lit(True))
     return [
-        F.count_if(chosen).alias("zone_attempts"),
-        F.sum(F.when(chosen, made)).alias("zone_made"),
-        _whole_sum(made * court.value_by_type("type_shot"), chosen).alias("zone_points_scored"),
+        F.coalesce(total("rows"), F.lit(0)).alias("zone_attempts"),
+        total("made").alias("zone_made"),
+        F.when(whole, F.coalesce(total("type_points"), F.lit(0))).alias("zone_points_scored"),
     ]
 
 
 BASE_SUMS = ["rows", "made", "attempts", "points"]
 
 
-def _base_sums(chosen: Column | None = None) -> list[Column]:
-    made = court.flag("is_shot_made")
-    values = [
-        F.lit(1),
-        made,
-        court.flag("is_shot_attempted"),
-        made * court.value_by_zone("zone_basic"),
-    ]
+def _base_sums(measures: dict[str, Column], chosen: Column | None = None) -> list[Column]:
     return [
-        F.sum(value if chosen is None else F.when(chosen, value)).alias(f"base_{name}")
-        for name, value in zip(BASE_SUMS, values, strict=True)
+        F.sum(measures[name] if chosen is None else F.when(chosen, measures[name])).alias(f"base_{name}")
+        for name in BASE_SUMS
     ]
 
 
@@ -67,13 +84,15 @@ def _base_rates() -> list[Column]:
 
 def zone_stats(shots: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Attempts, FG%, points and points per shot by zone; points by the shot's type text."""
-    sums = known_results(shots).groupBy(*by, *ZONE).agg(*_streak_sums(F.lit(True)))
+    rows, measures = _parts(shots, False)
+    sums = rows.groupBy(*by, *ZONE).agg(*_streak_sums(measures, F.lit(True)))
     return sums.select(*by, *ZONE, *_streak_rates())
 
 
 def base_zone_stats(shots: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """league_pct = made / attempted and league_pps by zone; points by the shot's zone."""
-    sums = known_results(shots).groupBy(*by, *ZONE).agg(*_base_sums())
+    rows, measures = _parts(shots, False)
+    sums = rows.groupBy(*by, *ZONE).agg(*_base_sums(measures))
     return sums.select(*by, *ZONE, *_base_rates())
 
 
@@ -84,6 +103,7 @@ def zone_comparison(
     seasons: Iterable[str] | None = None,
     scope: str = "league",
     others_only: bool = False,
+    summed: bool = False,
 ) -> DataFrame:
     """Zone rates after ``streak`` next to the base rates.
 
@@ -93,9 +113,9 @@ def zone_comparison(
 
     The streak shots are a subset of the base shots, so both come out of one scan and one shuffle.
     Only the all-player league table joins: its rows, down to one per (shooter, zone), are written to
-    the shared folder and read twice.
+    the shared folder and read twice. ``summed``: ``shots`` are sums kept by batch (``plans.kept``).
     """
-    rows = known_results(shots.where(in_seasons(seasons)))
+    rows, measures = _parts(shots.where(in_seasons(seasons)), summed)
     after = F.col("streak_col") == streak
     by = [] if player is not None else ["shooter"]
     base = [f"base_{c}" for c in BASE_SUMS]
@@ -103,14 +123,14 @@ def zone_comparison(
     if scope == "self":
         if player is not None:
             rows = rows.where(F.col("shooter") == player)
-        sums = rows.groupBy(*by, *ZONE).agg(*_streak_sums(after), *_base_sums())
+        sums = rows.groupBy(*by, *ZONE).agg(*_streak_sums(measures, after), *_base_sums(measures))
     elif scope == "league" and player is not None:
         own = F.col("shooter") == player
         others = ~F.coalesce(own, F.lit(False)) if others_only else None
-        sums = rows.where(after).groupBy(*ZONE).agg(*_streak_sums(own), *_base_sums(others))
+        sums = rows.where(after).groupBy(*ZONE).agg(*_streak_sums(measures, own), *_base_sums(measures, others))
     elif scope == "league":
         mine = cut_lineage(
-            rows.where(after).groupBy(*by, *ZONE).agg(*_streak_sums(F.lit(True)), *_base_sums())
+            rows.where(after).groupBy(*by, *ZONE).agg(*_streak_sums(measures, F.lit(True)), *_base_sums(measures))
         )
         league = mine.groupBy(*ZONE).agg(*[F.sum(c).alias(f"all_{c}") for c in base])
         own = F.col if others_only else lambda c: F.lit(0)

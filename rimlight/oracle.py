@@ -554,6 +554,8 @@ ORACLE_SQL: dict[str, str] = {
 # the same results by other paths
 ORACLE_SQL["streak_labels_cut"] = ORACLE_SQL["streak_labels"]
 ORACLE_SQL["streak_labels_batches"] = ORACLE_SQL["streak_labels"]
+for _same in ("zone_tables_league", "zone_tables_self", "coverage_table", "percentile_breaks"):
+    ORACLE_SQL[f"{_same}_kept"] = ORACLE_SQL[_same]
 ORACLE_SQL["ingest_two_batches"] = ORACLE_SQL["ingest_games"]
 ORACLE_SQL["ingest_documents"] = ORACLE_SQL["ingest_games"]
 ORACLE_SQL["flatten_documents"] = ORACLE_SQL["flatten_nested"].replace("SELECT * FROM tr", "SELECT * EXCLUDE (event_pos) FROM tr")

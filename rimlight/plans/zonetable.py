@@ -20,6 +20,7 @@ def zone_table(
     scope: str = "league",
     others_only: bool = False,
     round_last: bool = False,
+    summed: bool = False,
 ) -> DataFrame:
     """FG% and points per shot by zone after ``streak``.
 
@@ -27,9 +28,9 @@ def zone_table(
     streak_fg_percent, zone_points_per_shot, streak_diff (difference of the rounded rates to the
     player's base; ``round_last`` rounds the difference instead). ``others_only`` leaves the player
     out of the league. One player's table is sorted from near to far; without ``player`` the tables of
-    all players come unsorted, with a ``shooter`` column.
+    all players come unsorted, with a ``shooter`` column. ``summed``: ``shots`` are ``kept_zones``.
     """
-    zones = zone_comparison(shots, streak, player, seasons, scope, others_only)
+    zones = zone_comparison(shots, streak, player, seasons, scope, others_only, summed)
     by = [] if player is not None else ["shooter"]
     pct, pps = round_to(F.col("zone_pct"), 2), round_to(F.col("zone_points_per_shot"), 2)
     if scope == "league":

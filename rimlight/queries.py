@@ -22,9 +22,11 @@ from rimlight.plans import (
     zone_table,
 )
 from rimlight.plans.enrich import numeric_shots
+from rimlight.plans import kept as plans_kept
 from rimlight.plans.hexchart import chart_shots
 from rimlight.session import cut_lineage, scratch_path
 from rimlight.sources import game_logs, layout, tables, versions
+from rimlight.sources.kept import replaced_rows
 from rimlight.sources import tracking as tracking_io
 from rimlight.streaming.ingest import IngestPaths, ingest_games, ingested_shots
 from rimlight.streaming.streak_state import carry_streaks, correct_streaks
@@ -440,6 +442,72 @@ def percentile_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles.percentile_bands(events, "value")
 
 
+# Sums kept by batch
+
+
+def _resent(games: DataFrame, wrong: Column) -> list[DataFrame]:
+    """Labelled shots in three batches: games of even number, those of odd number with some of them all made and
+    labelled wrong, and the latter again."""
+    odd, again = F.col("game_id") % 2 == 1, F.col("game_id") % 3 == 0
+    turned = games.where(odd).withColumns(
+        {"is_shot_made": again | F.col("is_shot_made"), "streak_col": F.when(again, wrong).otherwise(F.col("streak_col"))}
+    )
+    return [games.where(~odd), turned, games.where(odd & again)]
+
+
+def _keep(spark: SparkSession, batches: list[DataFrame], keep: Callable) -> None:
+    """Stores each batch, and calls ``keep`` with its number, its shots and those it replaces."""
+    stored = scratch_path(spark, "kept-shots")
+    for batch, shots in enumerate(batches):
+        removed = replaced_rows(spark, stored, shots.schema, batch, shots)
+        keep(batch, shots, removed)
+        versions.add_version(shots, stored, shots, batch)
+
+
+def _kept_zone_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, shots = scratch_path(spark, "zone-sums"), adapters.streak_shots(spark, sf_dir)
+    games = cut_lineage(shots.withColumn("game_id", F.unix_date(F.col("ts").cast("date")).cast("bigint")))
+    _keep(spark, _resent(games, F.lit(STREAK)), lambda batch, *rows: plans_kept.keep_zones(path, batch, *rows))
+    return plans_kept.kept_zones(spark, path)
+
+
+@query("zone_tables_league_kept")
+def zone_tables_league_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zone_table(_kept_zone_sums(spark, sf_dir), STREAK, seasons=SEASONS, scope="league", summed=True)
+
+
+@query("zone_tables_self_kept")
+def zone_tables_self_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sums = _kept_zone_sums(spark, sf_dir)
+    return _round6(zone_table(sums, STREAK, seasons=SEASONS, scope="self", summed=True), "streak_diff")
+
+
+@query("coverage_table_kept")
+def coverage_table_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches made one before the third."""
+    path, games = scratch_path(spark, "coverage-sums"), cut_lineage(adapters.covered_shots(spark, sf_dir))
+
+    def keep(batch: int, *rows: DataFrame) -> None:
+        if batch == 2:
+            plans_kept.compact_kept(spark, coverage=path)
+        plans_kept.keep_coverage(path, batch, *rows)
+
+    _keep(spark, _resent(games, F.lit(STREAK)), keep)
+    return coverage_table(plans_kept.kept_coverage(spark, path), STREAK)
+
+
+@query("percentile_breaks_kept")
+def percentile_breaks_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of values over five batches; the first two are wrong and taken back by the last."""
+    path, events = scratch_path(spark, "value-counts"), adapters.table(spark, sf_dir, "events")
+    parts = [events.where(F.pmod("event_id", F.lit(4)) == k) for k in range(4)]
+    wrong = [p.withColumn("value", F.round("value")) for p in parts[:2]]
+    for batch, rows in enumerate([*wrong, *parts[2:]]):
+        plans_kept.keep_values(path, batch, "value", rows)
+    plans_kept.keep_values(path, 4, "value", parts[0].unionByName(parts[1]), wrong[0].unionByName(wrong[1]))
+    return _round6(percentiles.breaks_of_counts(plans_kept.kept_values(spark, path)), "breakpoint")
+
+
 # Tracking
 
 
