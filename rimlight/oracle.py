@@ -556,6 +556,24 @@ ORACLE_SQL["streak_labels_cut"] = ORACLE_SQL["streak_labels"]
 ORACLE_SQL["streak_labels_batches"] = ORACLE_SQL["streak_labels"]
 for _same in ("zone_tables_league", "zone_tables_self", "coverage_table", "percentile_breaks"):
     ORACLE_SQL[f"{_same}_kept"] = ORACLE_SQL[_same]
+# Streaks over all shots of the games that have a usable document.
+ORACLE_SQL["ingest_carried_labels"] = f"""{INGESTED}, ks AS (
+  SELECT game_id, event_id, name_player, is_shot_made FROM os
+  WHERE is_shot_made IS NOT NULL AND '00' || CAST(game_id AS VARCHAR) IN (SELECT game_id FROM tr)
+), nu AS (
+  SELECT *, row_number() OVER (PARTITION BY name_player ORDER BY game_id, event_id) AS rn,
+    row_number() OVER (PARTITION BY name_player, is_shot_made ORDER BY game_id, event_id) AS rm FROM ks
+), ru AS (
+  SELECT *, row_number() OVER (PARTITION BY name_player, is_shot_made, rn - rm ORDER BY rn) AS run FROM nu
+), pr AS (
+  SELECT game_id, event_id, lag(run) OVER (PARTITION BY name_player ORDER BY rn) AS run,
+    lag(is_shot_made) OVER (PARTITION BY name_player ORDER BY rn) AS made FROM ru
+)
+SELECT g.* REPLACE (CASE WHEN p.run IS NULL THEN '0'
+    WHEN p.run = 1 THEN CASE WHEN made THEN '1 Make' ELSE '1 Miss' END
+    ELSE CASE WHEN p.run = 2 THEN '2' ELSE '3+' END || CASE WHEN made THEN ' Makes' ELSE ' Misses' END
+  END AS streak_col)
+FROM gated g JOIN pr p ON g.game_id = p.game_id AND g.event_id = p.event_id"""
 ORACLE_SQL["ingest_two_batches"] = ORACLE_SQL["ingest_games"]
 ORACLE_SQL["ingest_documents"] = ORACLE_SQL["ingest_games"]
 ORACLE_SQL["flatten_documents"] = ORACLE_SQL["flatten_nested"].replace("SELECT * FROM tr", "SELECT * EXCLUDE (event_pos) FROM tr")

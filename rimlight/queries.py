@@ -693,7 +693,7 @@ def _ingest_paths(spark: SparkSession, source: str) -> IngestPaths:
     return IngestPaths(source, f"{root}/tracking", f"{root}/enriched", f"{root}/checkpoint")
 
 
-def _ingest(spark: SparkSession, sf_dir: str, paths: IngestPaths) -> None:
+def _ingest(spark: SparkSession, sf_dir: str, paths: IngestPaths, **options: object) -> None:
     ingest_games(
         spark,
         paths,
@@ -701,9 +701,22 @@ def _ingest(spark: SparkSession, sf_dir: str, paths: IngestPaths) -> None:
         adapters.supplier_players(spark, sf_dir),
         layout="lines",
         files="*.txt",
+        **options,
     ).awaitTermination()
 
 
+@query("ingest_carried_labels")
+def ingest_carried_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the games after the other half; the streaks are labelled on the way, over all games."""
+    paths = _ingest_paths(spark, scratch_path(spark, "logs"))
+    lines = adapters.game_log_lines(spark, sf_dir)
+    game = F.coalesce(F.get_json_object("value", "$.gameid"), "value")
+    for half in (0, 1):
+        lines.where(F.crc32(game.cast("binary")) % 2 == half).write.mode("append").text(paths.source)
+        _ingest(spark, sf_dir, paths, carry_labels=True)
+    return _round6(ingested_shots(spark, paths, carry_labels=True), "distance_to_shooter")
+
+
 @query("ingest_two_batches")
 def ingest_two_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each game's lines arrive in two runs; the second enriches and gates the whole games."""

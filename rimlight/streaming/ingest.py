@@ -13,6 +13,7 @@ from rimlight import schemas
 from rimlight.functions import court
 from rimlight.operators.flatten import flatten_marked
 from rimlight.operators.gate import MAX_MISSING
+from rimlight.operators.streaks import streak_or_zero
 from rimlight.plans.enrich import enrich_games, numeric_shots
 from rimlight.session import cut_lineage, scratch_scope
 from rimlight.sources.game_logs import LOG_FILES, MALFORMED, in_parts, marked_logs, stream_game_logs
@@ -24,9 +25,12 @@ from rimlight.sources.tracking import (
     read_batches,
     write_batch,
 )
+from rimlight.streaming.streak_state import carry_streaks, correct_streaks
 
 # Beside the tracking rows: the games of each batch, and those with a malformed document.
 GAMES, BAD_GAMES = "_games", "_bad_games"
+# Beside the enriched shots: what labels carried from batch to batch need.
+STREAKS = "_streaks"
 GAME_NAMES = StructType([StructField("game_id", StringType())])
 
 
@@ -61,6 +65,7 @@ def ingest_batch(
     malformed: str = "skip_document",
     max_ball_dist: float = court.MAX_BALL_DISTANCE,
     parts: bool = False,
+    carry_labels: bool = False,
 ) -> None:
     """One batch of documents: flatten, enrich, gate, write.
 
@@ -70,16 +75,19 @@ def ingest_batch(
     batch's games take part: with batches of up to a few thousand games they are broadcast, and no tracking
     rows but the ball's are shuffled. Each output has a folder per batch: a batch that runs again
     after a failure overwrites its own. With ``parts`` a game may have several documents: with the rule
-    ``skip_game`` a malformed event in any of them, of this batch or an earlier one, drops the game. What the batch
-    writes to the shared folder on its way is deleted at its end.
+    ``skip_game`` a malformed event in any of them, of this batch or an earlier one, drops the game. With
+    ``carry_labels`` the streaks are labelled here, over all games ingested so far, in place of the labels that ``shots``
+    has. What the batch writes to the shared folder on its way is deleted at its end.
     """
     with scratch_scope(docs.sparkSession):
-        _ingest_batch(docs, batch_id, paths, shots, players, max_missing, malformed, max_ball_dist, parts)
+        _ingest_batch(
+            docs, batch_id, paths, shots, players, max_missing, malformed, max_ball_dist, parts, carry_labels
+        )
 
 
 def _ingest_batch(
     docs: DataFrame, batch_id: int, paths: IngestPaths, shots: DataFrame, players: DataFrame,
-    max_missing: int, malformed: str, max_ball_dist: float, parts: bool,
+    max_missing: int, malformed: str, max_ball_dist: float, parts: bool, carry_labels: bool,
 ) -> None:
     write_batch(flatten_marked(marked_logs(docs, malformed)), paths.tracking, batch_id)
     spark = docs.sparkSession
@@ -107,6 +115,9 @@ def _ingest_batch(
         tracking = tracking.join(bad, "game_id", "left_anti")
     games = names.select(court.game_key("game_id").alias("game_id")).distinct()
     batch_shots = cut_lineage(numeric_shots(shots).join(games, "game_id", "left_semi"))
+    if carry_labels:
+        state = f"{paths.enriched}{STREAKS}"
+        batch_shots = cut_lineage(carry_streaks(batch_shots, state, batch_id, games, "name_player"))
     enriched = enrich_games(tracking, batch_shots, players, max_missing, max_ball_dist=max_ball_dist)
     write_batch(enriched, paths.enriched, batch_id)
 
@@ -117,11 +128,17 @@ def quarantine(spark: SparkSession, paths: IngestPaths) -> DataFrame:
     return rows.where(F.col("problem").isNotNull()).select(BATCH, "game_id", "source_file", "problem")
 
 
-def ingested_shots(spark: SparkSession, paths: IngestPaths) -> DataFrame:
-    """The enriched shots ingested so far, each game from the last batch that had it."""
+def ingested_shots(spark: SparkSession, paths: IngestPaths, carry_labels: bool = False) -> DataFrame:
+    """The enriched shots ingested so far, each game from the last batch that had it.
+
+    ``carry_labels``, if the batches had it, gives the labels as of now, with late and repeated games.
+    """
     sent = read_batches(spark, f"{paths.tracking}{GAMES}", GAME_NAMES)
     sent = sent.select(court.game_key("game_id").alias("game_id"), BATCH)
-    return latest_games(read_batches(spark, paths.enriched), sent)
+    latest = latest_games(read_batches(spark, paths.enriched), sent)
+    if not carry_labels:
+        return latest
+    return correct_streaks(latest, f"{paths.enriched}{STREAKS}").withColumn("streak_col", streak_or_zero())
 
 
 def ingest_games(

@@ -69,6 +69,20 @@ def test_files_one_by_one_equal_all_at_once(spark, setup):
     assert bad.problem == "corrupt document" and bad.source_file.endswith("0021500009.json")
 
 
+def test_carried_labels_of_three_runs_equal_the_whole(spark, setup):
+    logs, folder, paths, shots, players = setup
+    for game in ("0021500001", "0021500003", "0021500002"):
+        (folder / f"{game}.json").write_text(logs[game])
+        ingest_games(spark, paths, shots, players, carry_labels=True).awaitTermination()
+    order = [(g, e) for g in (21500001, 21500002, 21500003) for e in EVENTS]
+    # results alternate, as does the last result of each game with the first of the next
+    expected = {k: "0" if n == 0 else "1 Make" if order[n - 1][1] % 2 == 0 else "1 Miss" for n, k in enumerate(order)}
+    found = {(r.game_id, r.event_id): r.streak_col for r in ingested_shots(spark, paths, carry_labels=True).collect()}
+    assert found and all(expected[k] == label for k, label in found.items())
+    stored = {(r.game_id, r.event_id): r.streak_col for r in ingested_shots(spark, paths).collect()}
+    assert {k: v for k, v in stored.items() if k[1] > 3} == {k: v for k, v in found.items() if k[1] > 3}
+
+
 def test_a_batch_leaves_nothing_in_the_shared_folder(spark, setup):
     logs, folder, paths, shots, players = setup
     (folder / "0021500001.json").write_text(logs["0021500001"])
