@@ -554,6 +554,9 @@ ORACLE_SQL: dict[str, str] = {
 # the same results by other paths
 ORACLE_SQL["streak_labels_cut"] = ORACLE_SQL["streak_labels"]
 ORACLE_SQL["streak_labels_batches"] = ORACLE_SQL["streak_labels"]
+ORACLE_SQL["coverage_page"] = (
+    ORACLE_SQL["coverage_table"] + " ORDER BY streak_fga DESC NULLS LAST, shooter NULLS LAST LIMIT 15 OFFSET 15"
+)
 for _same in ("zone_tables_league", "zone_tables_self", "coverage_table", "percentile_breaks"):
     ORACLE_SQL[f"{_same}_kept"] = ORACLE_SQL[_same]
 # Streaks over all shots of the games that have a usable document.

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rimlight import adapters, schemas
 from rimlight.functions import court, hexgrid, numeric
 from rimlight.functions.names import snake_case
-from rimlight.operators import coverage, gate, hexbin, percentiles, reshape, streaks, tracking, zones
+from rimlight.operators import coverage, gate, hexbin, pages, percentiles, reshape, streaks, tracking, zones
 from rimlight.operators.flatten import flatten_tracking
 from rimlight.operators.links import extract_links as links_of
 from rimlight.plans import (
@@ -396,6 +396,13 @@ def coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage_table(adapters.covered_shots(spark, sf_dir), STREAK)
 
 
+@query("coverage_page")
+def coverage_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of the coverage table, from the end of the first."""
+    table = cut_lineage(coverage_table(adapters.covered_shots(spark, sf_dir), STREAK, sort=False))
+    return pages.page_frame(table, {"streak_fga": "desc", "shooter": "asc"}, 2)
+
+
 @query("coverage_totals")
 def coverage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round6(coverage.coverage_totals(adapters.covered_shots(spark, sf_dir)), "percent_fga_tight")

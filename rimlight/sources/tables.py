@@ -29,15 +29,22 @@ def read_streak_shots(spark: SparkSession, source: str, fmt: str = "parquet", **
     return read_table(spark, source, schemas.STREAK_SHOTS, fmt, **options)
 
 
-def write_streak_shots(shots: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """The labelled season table, a folder per season, sorted by shooter within each file.
+# Bytes of a row group of the season table: what a scan by shooter reads or skips.
+ROW_GROUP_BYTES = 8 << 20
+
+
+def write_streak_shots(
+    shots: DataFrame, path: str, mode: str = "overwrite", row_group_bytes: int = ROW_GROUP_BYTES
+) -> None:
+    """The labelled season table, a folder per season, sorted by shooter and streak within each file.
 
     A scan by season opens its folders only, and one by shooter skips most row groups by their
-    minimum and maximum.
+    minimum and maximum, or by their bloom filters where the name lies between.
     """
     balanced = shots.select(*schemas.STREAK_SHOTS.names).hint("rebalance", "slug_season")
-    ordered = balanced.sortWithinPartitions("slug_season", "shooter")
-    ordered.write.mode(mode).partitionBy("slug_season").parquet(path)
+    ordered = balanced.sortWithinPartitions("slug_season", "shooter", "streak_col")
+    options = {"parquet.block.size": str(row_group_bytes), "parquet.bloom.filter.enabled#shooter": "true"}
+    ordered.write.mode(mode).options(**options).partitionBy("slug_season").parquet(path)
 
 
 def read_players(spark: SparkSession, source: str, fmt: str = "parquet", **options: str) -> DataFrame:
