@@ -2,10 +2,10 @@
 
 All pages of a host are sketched and grouped by layout, the containers near the root; within a layout they are aligned in
 pieces by tree matching, each page with the next. Text that stands at matched
-nodes alike on pages whose other text differs belongs to the host's template if most pages of a layout have it;
-what varies is a slot. The wrapper, the keys of the template's (path, text) pairs, is applied to every page of the host
-together with the rules that hold for any page: navigation, forms, adverts, comments and the like are no content, and where
-a page marks its article, the article is the content.
+nodes alike on pages whose other text differs belongs to the template of the layout if most of its pages, and three at
+least, have it; what varies is a slot. The wrapper, the keys of the template's (path, text) pairs, is applied to every page
+of its layout together with the rules that hold for any page: navigation, forms, adverts, comments and the like are no
+content, and where a page marks its article, the article is the content, whole: no template cuts it.
 """
 
 from __future__ import annotations
@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 
 from rimlight.llm.common import bounded_side, cut_lineage, small_batches
 
-# Pages that are aligned in one piece on average; least share of aligned texts that differs.
-PIECE_PAGES, VARYING = 16, 0.5
+# Pages that are aligned in one piece on average; text blocks that differ at least, else two pages are copies of one.
+PIECE_PAGES, VARYING = 16, 2
+# Pages that have a text of the template at least: what two pages share may be content.
+LEAST_PAGES = 3
 # Containers to this depth below the root make the layout.
 LAYOUT_DEPTH = 4
 CONTAINERS = set("html body div section article main aside header footer nav table form center".split())
@@ -100,7 +102,8 @@ def _open(tag: str, attributes: str) -> Node:
         or found.get("aria-hidden") == "true"
         or "display:none" in found.get("style", "").replace(" ", "")
     )
-    return Node(tag, ".".join([tag, *sorted(named)]), no and tag not in {"html", "body"})
+    # numbers in names tell pages apart, not layouts
+    return Node(tag, ".".join([tag, *sorted(_DIGITS.sub("", n) for n in named)]), no and tag not in {"html", "body"})
 
 
 def parse(html: str) -> Node:
@@ -300,6 +303,7 @@ class Tree:
     def __init__(self, nodes: np.ndarray):
         self.parent, self.label, self.key = nodes.tolist()
         n = len(self.label)
+        self.texts = n - self.key.count(0)
         self.children: list[list[int]] = [[] for _ in range(n)]
         for k in range(1, n):
             self.children[self.parent[k]].append(k)
@@ -406,14 +410,12 @@ def match(a: Tree, b: Tree) -> list[tuple[int, int]]:
 
 
 def alike(a: Tree, b: Tree) -> set[int] | None:
-    """Keys alike at matched nodes; None if the pages do not differ: two copies of one article tell nothing of the template."""
-    same, varying = set(), 0
-    for i, j in match(a, b):
-        if a.key[i] and a.key[i] == b.key[j]:
-            same.add(a.key[i])
-        elif a.key[i]:
-            varying += 1
-    return same if varying >= VARYING * (len(same) + varying) else None
+    """Keys alike at matched nodes; None if the pages do not differ: two copies of one article tell nothing of the template.
+
+    Pages differ if each has text blocks that the other lacks in their place, however many blocks they share.
+    """
+    same = [a.key[i] for i, j in match(a, b) if a.key[i] and a.key[i] == b.key[j]]
+    return set(same) if min(a.texts, b.texts) - len(same) >= VARYING else None
 
 
 def voted(trees: list[Tree]) -> tuple[int, Counter[int]]:
@@ -431,10 +433,10 @@ def voted(trees: list[Tree]) -> tuple[int, Counter[int]]:
 
 
 def induce(pages: list[str]) -> list[tuple[int, str]]:
-    """The template of pages of one layout: (path, text) alike at matched nodes, on most pages that differ."""
+    """The template of pages of one layout: (path, text) alike at matched nodes, on most pages that differ and on three."""
     texts: dict[int, tuple[int, str]] = {}
     n, votes = voted([Tree(sketch(parse(p), texts)) for p in dict.fromkeys(pages)])
-    return sorted(texts[k] for k, v in votes.items() if 2 * v > n)
+    return sorted(texts[k] for k, v in votes.items() if 2 * v > n and v >= LEAST_PAGES)
 
 
 class Template:
@@ -447,13 +449,20 @@ class Template:
         return bool(self.keys) and _hash(str(pair[0]), pair[1]) in self.keys
 
 
-def main_text(html: str, template: set[tuple[int, str]] | Template) -> str:
-    """Content blocks of a page, joined by one space: the marked article if there is one with text,
+NO_TEMPLATE = Template([])
+
+
+def content(root: Node, template: set[tuple[int, str]] | Template) -> str:
+    """Content blocks of a page, joined by one space: the whole marked article if there is one with text,
     else all blocks that are not of the template."""
-    found = blocks(parse(html))
-    kept = [b for b in found if (b[0], b[2]) not in template]
-    article = [text for _, inside, text in kept if inside]
-    return " ".join(article or [text for _, _, text in kept])
+    found = blocks(root)
+    article = [text for _, inside, text in found if inside]
+    return " ".join(article or [text for path, _, text in found if (path, text) not in template])
+
+
+def main_text(html: str, template: set[tuple[int, str]] | Template) -> str:
+    """``content`` of a page given as text."""
+    return content(parse(html), template)
 
 
 def sketches(pages: DataFrame) -> DataFrame:
@@ -476,9 +485,10 @@ def sketches(pages: DataFrame) -> DataFrame:
 
 
 def wrappers(pages: DataFrame, piece_pages: int = PIECE_PAGES) -> DataFrame:
-    """(host, wrapper): keys of the template, over all pages of each host; hosts without template have none.
+    """(host, wrapper): per layout the keys of its template, over all pages of each host.
 
-    Pages that are alone with their layout are one group of their host.
+    Pages that are alone with their layout are one group of their host, of layout null. A layout of several pages has an
+    entry, be it empty; hosts without any key have no row.
     """
 
     def learn(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -502,15 +512,19 @@ def wrappers(pages: DataFrame, piece_pages: int = PIECE_PAGES) -> DataFrame:
     # null layouts are the pages alone with theirs
     counted = votes.where("key is null").select(F.col("host").alias("_host"), F.col("layout").alias("_layout"), F.col("n").alias("pages"))
     same = (F.col("host") == F.col("_host")) & F.col("layout").eqNullSafe(F.col("_layout"))
-    most = votes.where("key is not null").join(counted, same).where("2 * n > pages")
-    return most.groupBy("host").agg(F.sort_array(F.collect_set("key")).alias("wrapper"))
+    joined = votes.join(counted, same)
+    most = F.col("key").isNotNull() & (2 * F.col("n") > F.col("pages")) & (F.col("n") >= LEAST_PAGES)
+    # a set leaves the null out, so each group has one
+    each = joined.groupBy("host", "layout").agg(F.sort_array(F.collect_set(F.when(most, F.col("key")))).alias("keys"))
+    whole = each.groupBy("host").agg(F.collect_list(F.struct("layout", "keys")).alias("wrapper"))
+    return whole.where(F.exists("wrapper", lambda x: F.size(x["keys"]) > 0))
 
 
 def extract_text(pages: DataFrame, piece_pages: int = PIECE_PAGES) -> DataFrame:
     """One row per page: page_id, url, text, n_chars.
 
     White space inside a block is one space, blocks are joined by one. Null or empty html, and pages
-    without content, give an empty text. A null url has no host and thus no wrapper. Repeated rows return
+    without content, give an empty text. A null url has no host and thus no wrapper; nor has a page whose layout has none. Repeated rows return
     each; only page_id, url and html are read. An empty table gives no rows.
     """
     small_batches(pages.sparkSession)
@@ -518,18 +532,27 @@ def extract_text(pages: DataFrame, piece_pages: int = PIECE_PAGES) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     rows = rows.withColumn("host", F.when(host != "", host))
     learned = cut_lineage(wrappers(rows, piece_pages))
-    size = learned.agg(F.coalesce(F.sum(F.size("wrapper") + 1), F.lit(0))).first()[0]
+    keys = F.aggregate("wrapper", F.lit(1), lambda n, x: n + F.size(x["keys"]) + 1)
+    size = learned.agg(F.coalesce(F.sum(keys), F.lit(0))).first()[0]
     side = F.broadcast(learned) if size <= MAX_SENT_KEYS else learned
+    # no host has a slash: pages without one are spread over the tasks
+    spread = F.coalesce("host", F.concat(F.lit("/"), F.xxhash64("page_id", "html").cast("string")))
+    rows = rows.withColumn("host", spread)
     joined = rows.join(side, "host", "left").select("page_id", "url", "html", "wrapper", "host")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            templates: dict[str | None, Template] = {}
+            hosts: dict[str, dict[int | None, Template]] = {}
             texts = []
             for k, (html, host) in enumerate(zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True)):
-                if host not in templates:
-                    templates[host] = Template(batch.column(3)[k].as_py() or [])
-                texts.append(main_text(html, templates[host]) if html else "")
+                if host not in hosts:
+                    hosts[host] = {x["layout"]: Template(x["keys"]) for x in batch.column(3)[k].as_py() or []}
+                if not html:
+                    texts.append("")
+                    continue
+                root, templates = parse(html), hosts[host]
+                own = templates.get(layout(root), templates.get(None, NO_TEMPLATE)) if templates else NO_TEMPLATE
+                texts.append(content(root, own))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
                 ["page_id", "url", "text", "n_chars"],

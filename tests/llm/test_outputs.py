@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 
@@ -192,8 +194,56 @@ def test_each_layout_of_a_host_has_its_template(spark):
     got = {r.page_id: r.text for r in html_extract.extract_text(df).collect()}
     for i, (host, page, k) in enumerate(rows):
         expect = {one: f"news {k} a more {k} b", two: f"item {k} c price {k} d", last: f"page {k} e text {k} f"}[page]
-        # one page, or copies of one, tell nothing of the template
-        assert got[i] == ("Daily Post " if host in ("alone", "copies") else "") + expect
+        # one page, copies of one or what two pages share tell nothing of the template
+        assert got[i] == ("Daily Post " if host in ("alone", "copies", "pair") else "") + expect
+
+
+@pytest.mark.parametrize("fixed", [3, 4, 8, 40])
+def test_pages_with_more_fixed_rows_than_paragraphs_have_a_template(fixed):
+    # no tag, class or id tells anything
+    rows = "".join(f"<div>fixed row {k}</div>" for k in range(fixed))
+    page = "<html><body><div>" + rows + "</div><div><div>%s</div><div>%s</div><div>%s</div></div><div>end row</div></body></html>"
+    pages = [page % (f"begin {k}", f"middle {k}", f"last {k}") for k in range(10)]
+    template = set(html_extract.induce(pages))
+    assert len(template) == fixed + 1
+    assert [html_extract.main_text(p, template) for p in pages] == [f"begin {k} middle {k} last {k}" for k in range(10)]
+
+
+def test_pages_without_telling_names_through_spark(spark):
+    rng = random.Random(9)
+    text = lambda: " ".join(rng.choice("lorem ipsum dolor sit amet".split()) + str(rng.randrange(999)) for _ in range(12))
+    pages, expect = [], {}
+    for host in ("a.org", "b.org"):
+        top = "".join(f"<div>{host} row {k}</div>" for k in range(9))
+        for k in range(40):
+            parts = [text() for _ in range(rng.randrange(2, 6))]
+            body = "".join(f"<div>{p}</div>" for p in parts)
+            i = len(pages)
+            pages.append((i, f"https://{host}/{k}", f"<html><body><div>{top}</div><div>{body}</div><div>made by {host}</div></body></html>"))
+            expect[i] = " ".join(parts)
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for piece in (5, 1000):
+        assert {r.page_id: r.text for r in html_extract.extract_text(df, piece).collect()} == expect
+
+
+def test_a_template_cuts_no_marked_article_and_no_sentence_of_two(spark):
+    page = "<html><body><div>Daily Post</div><article><p>{0} one</p><p>{1}</p><p>{0} two</p></article></body></html>"
+    plain = "<html><body><div>Daily Post</div><div><p>{0} one</p><p>{1}</p><p>{0} two</p></div></body></html>"
+    pages = [(k, f"http://h/{k}", page.format(k, "said by all")) for k in range(5)]
+    pages += [(k, f"http://h/{k}", plain.format(k, "said by two" if k < 12 else f"said by {k}")) for k in range(10, 14)]
+    got = {r.page_id: r.text for r in html_extract.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"{k} one said by all {k} two" for k in range(5))
+    assert all(got[k] == f"{k} one said by {'two' if k < 12 else k} {k} two" for k in range(10, 14))
+
+
+def test_wrappers_joined_by_host_give_the_same(spark, monkeypatch):
+    page = "<html><body><div>Daily Post</div><div><p>{0} one</p><p>{0} two</p></div></body></html>"
+    rows = [(k, f"http://h/{k}" if k % 2 else None, page.format(k)) for k in range(12)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    sent = sorted(html_extract.extract_text(df).collect())
+    monkeypatch.setattr(html_extract, "MAX_SENT_KEYS", 0)
+    assert sorted(html_extract.extract_text(df).collect()) == sent
+    assert [r.text for r in sent][:2] == ["Daily Post 0 one 0 two", "1 one 1 two"]
 
 
 def test_articles_that_are_comments_or_teasers_are_no_content():
