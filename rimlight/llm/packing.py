@@ -103,6 +103,20 @@ def with_items(docs: DataFrame) -> DataFrame:
     )
 
 
+def numbered(items: DataFrame, run: int = 10_000) -> DataFrame:
+    """``items`` with the number of each row among its equals, ``copy``, from 0; the order of rows is lost.
+
+    Equal rows are counted before the shuffle and written out again in runs of ``run``, which tasks share.
+    """
+    names = items.columns
+    counts = items.groupBy(*names).agg(F.count("*").alias("copies"))
+    runs = counts.select("*", F.explode(F.sequence(F.lit(0), F.col("copies") - 1, F.lit(run))).alias("first"))
+    end = F.least(F.col("copies"), F.col("first") + run) - 1
+    # single rows, nearly all, are dealt already
+    few, many = runs.where(F.col("copies") <= run), runs.where(F.col("copies") > run).repartition(*names, "first")
+    return few.unionByName(many).select(*names, F.explode(F.sequence(F.col("first"), end)).alias("copy"))
+
+
 def best_fit(
     items: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE, shard_pieces: int = SHARD_PIECES
 ) -> DataFrame:
@@ -111,22 +125,23 @@ def best_fit(
     ``items`` has doc_id, source, cluster, n_tokens. A document longer than ``capacity`` is cut into
     full pieces and a rest; a full piece fills a bin alone. A null source is a source of its own, a
     null cluster conflicts with nothing; of null or negative length is taken as 0, and such a document takes
-    one token's room. Repeated rows return each. ``room`` is what its bin has left. An empty table
+    one token's room. Repeated rows return each, numbered from counts and dealt over all shards by their number. ``room`` is what its bin has left. An empty table
     gives no rows. Shards take about ``shard_pieces`` rests, and full pieces are numbered beside them.
     """
     small_batches(items.sparkSession)
     size = F.greatest(F.coalesce(F.col("n_tokens"), F.lit(0)), F.lit(1))
     items = items.select("doc_id", "source", "cluster", size.alias("n_tokens"))
     shards = max(1, -(-items.count() // shard_pieces))
+    items = numbered(items)
     full = F.floor((F.col("n_tokens") - 1) / capacity).cast("long")
     dealt = items.withColumns(
-        {"shard": F.pmod(F.xxhash64("doc_id", "n_tokens", "cluster"), F.lit(shards)), "full": full}
+        {"shard": F.pmod(F.xxhash64("doc_id", "n_tokens", "cluster", "copy"), F.lit(shards)), "full": full}
     )
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         rest = rows.n_tokens - rows.full * capacity
         rows = rows.assign(rest=rest).sort_values(
-            ["rest", "doc_id", "n_tokens", "cluster"], ascending=[False, True, True, True], kind="stable"
+            ["rest", "doc_id", "n_tokens", "cluster", "source", "copy"], ascending=[False, *[True] * 5], kind="stable"
         )
         clusters = [("n", i) if pd.isna(c) else c for i, c in enumerate(rows.cluster.tolist())]
         sources = [None if s is None or s != s else s for s in rows.source.tolist()]

@@ -1,7 +1,9 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rimlight.llm import hnsw, html_extract, materialise, packing, sentencepiece_codec
 from rimlight.llm.common import scratch_path
@@ -18,6 +20,43 @@ def test_packing_holds_capacity_and_conflicts(odd_docs, no_docs):
     assert packing.packed_documents(no_docs).count() == 0
 
 
+def test_equal_rows_are_spread_over_all_shards(spark):
+    rows = [(None, "s", 7, 1)] * 2500 + [(k, None, None, 10) for k in range(500)] + [(5, "s", 7, 3)] * 3
+    items = spark.createDataFrame(rows, "doc_id long, source string, cluster long, n_tokens long")
+    copies = packing.numbered(items, run=100).collect()
+    assert sorted(r.copy for r in copies if r.doc_id is None) == list(range(2500))
+    assert sorted(r.copy for r in copies if r.cluster == 7 and r.doc_id == 5) == [0, 1, 2]
+    got = packing.best_fit(items, capacity=100, shard_pieces=500).collect()
+    assert len(got) == len(rows)
+    sizes = Counter(r.shard for r in got)
+    assert len(sizes) == 7 and max(sizes.values()) < 600
+    # equal texts conflict: no two in a bin
+    assert max(Counter((r.shard, r.bin) for r in got if r.doc_id is None).values()) == 1
+    # the result does not depend on the order of rows
+    again = packing.best_fit(items.orderBy(F.rand(3)), capacity=100, shard_pieces=500).collect()
+    assert Counter(map(str, again)) == Counter(map(str, got))
+
+
+def test_best_fit_equals_a_naive_search():
+    rng = random.Random(4)
+    for _ in range(30):
+        n = rng.randrange(1, 60)
+        sizes = sorted((rng.randrange(1, 41) for _ in range(n)), reverse=True)
+        sources, clusters = [rng.choice("ab") for _ in range(n)], [rng.randrange(12) for _ in range(n)]
+        bins, starts, _ = packing.pack_shard(np.array(sizes), sources, clusters, 40, 3)
+        held: dict[int, list[int]] = {}
+        for k in range(n):
+            # brute force over all open bins; ties may go to any
+            room = {
+                b: 40 - sum(sizes[i] for i in rows) for b, rows in held.items()
+                if clusters[k] not in {clusters[i] for i in rows} and sum(sources[i] == sources[k] for i in rows) < 3
+            }
+            fits = {b: r for b, r in room.items() if r >= sizes[k]}
+            assert bins[k] in fits if fits else bins[k] not in held
+            assert 40 - starts[k] == (fits[bins[k]] if fits else 40) and fits.get(bins[k], 0) == min(fits.values(), default=0)
+            held.setdefault(bins[k], []).append(k)
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     sizes = np.array([6, 5, 4, 4, 3])
     bins, starts, rooms = packing.pack_shard(sizes, list("abcdd"), [1, 2, 1, 4, 5], 10, 1)

@@ -47,6 +47,20 @@ def test_near_copies_with_null_or_repeated_ids_leave_one_row(spark):
     assert found == [("-", 0)] * 3 + [("-", 9)] * 2 + [("1", 0), ("2", 5), ("3", 3), ("4", 7)]
 
 
+def test_clashing_names_and_empty_tables(spark, no_docs):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text, "a", 1, "x", 7), (2, text + " ", "b", 2, "y", 8), (2, text, "c", 2, "y", 9), (3, None, "d", 3, "z", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _digest string, _node long, _id string, _at long")
+    kept = corpus_pipeline.drop_copies(spark, docs, "")
+    assert kept.columns == docs.columns and {tuple(r) for r in kept.collect()} == {rows[1], rows[3]}
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert kept.columns == docs.columns and {tuple(r) for r in kept.collect()} == {rows[0], rows[3]}
+    for stage in (corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies):
+        none = stage(spark, no_docs, "")
+        assert none.columns == no_docs.columns and none.count() == 0
+    assert corpus_pipeline.pack(spark, no_docs, "").count() == 0
+
+
 def test_every_operator_is_registered():
     names = list(QUERIES)
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
