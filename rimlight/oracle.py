@@ -580,6 +580,14 @@ FROM gated g JOIN pr p ON g.game_id = p.game_id AND g.event_id = p.event_id"""
 ORACLE_SQL["ingest_two_batches"] = ORACLE_SQL["ingest_games"]
 ORACLE_SQL["ingest_documents"] = ORACLE_SQL["ingest_games"]
 ORACLE_SQL["flatten_documents"] = ORACLE_SQL["flatten_nested"].replace("SELECT * FROM tr", "SELECT * EXCLUDE (event_pos) FROM tr")
+_WHOLE = "CAST(game_id AS BIGINT) % 5 <> 0"
+for _name in ("flatten_odd_documents", "flatten_split_documents"):
+    ORACLE_SQL[_name] = f"{ORACLE_SQL['flatten_documents']} WHERE {_WHOLE}"
+# each order that parses has an event and one without moments
+ORACLE_SQL["split_document_problems"] = f"""WITH logs AS ({_PRIORITY_LOGS}) SELECT game_id,
+    CASE WHEN {_WHOLE} THEN NULL ELSE 'corrupt document' END AS problem,
+    CAST(CASE WHEN {_WHOLE} THEN count(*) + count(*) FILTER (o_orderpriority <> '2-HIGH') ELSE 0 END AS BIGINT) AS events
+    FROM logs WHERE o_orderpriority <> '1-URGENT' GROUP BY game_id"""
 ORACLE_SQL["stored_shots"] = f"""WITH {ORDER_SHOTS.strip()} SELECT CAST(game_id AS VARCHAR) AS game_id, event_id,
     name_player, name_team, type_shot FROM os"""
 ORACLE_SQL["stored_players"] = "SELECT s_suppkey AS \"idPlayer\", s_name AS \"namePlayer\" FROM supplier"

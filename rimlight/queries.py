@@ -28,6 +28,7 @@ from rimlight.session import cut_lineage, scratch_path
 from rimlight.sources import game_logs, layout, tables, versions
 from rimlight.sources.kept import replaced_rows
 from rimlight.sources import tracking as tracking_io
+from rimlight.sources.split_logs import split_logs
 from rimlight.streaming.ingest import IngestPaths, ingest_games, ingested_shots
 from rimlight.streaming.streak_state import carry_streaks, correct_streaks
 
@@ -751,6 +752,29 @@ def flatten_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flatten_tracking(game_logs.usable_logs(docs, malformed="skip_event")).drop("event_pos")
 
 
+@query("flatten_odd_documents")
+def flatten_odd_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document per file, some of them cut off: these give no rows."""
+    docs = game_logs.read_game_logs(spark, adapters.write_odd_documents(spark, sf_dir), files="*.txt", id_folder="game")
+    return flatten_tracking(game_logs.usable_logs(docs, malformed="skip_event")).drop("event_pos")
+
+
+@query("flatten_split_documents")
+def flatten_split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files cut at their events, which tasks share."""
+    path = adapters.write_odd_documents(spark, sf_dir)
+    docs = split_logs(spark, path, malformed="skip_event", files="*.txt", id_folder="game")
+    return flatten_tracking(docs.where("problem is null")).drop("event_pos")
+
+
+@query("split_document_problems")
+def split_document_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that are cut off, one row each, as quarantined, and how many events the others hold."""
+    path = adapters.write_odd_documents(spark, sf_dir)
+    docs = split_logs(spark, path, malformed="skip_event", files="*.txt", id_folder="game")
+    return docs.groupBy("game_id", "problem").agg(F.sum(F.coalesce(F.size("events"), F.lit(0))).alias("events"))
+
+
 @query("ingest_documents")
 def ingest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One document per file, in two runs; files are archived once a later run has ended."""

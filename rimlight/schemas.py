@@ -22,6 +22,9 @@ _LONG, _INT, _DBL, _STR, _BOOL = LongType(), IntegerType(), DoubleType(), String
 
 CORRUPT = "_corrupt_record"
 
+# Place of a row's first event in its document, where documents are cut.
+FIRST_EVENT = "first_event"
+
 # A moment mixes numbers, nulls and an entity list, so its elements are read as raw text.
 EVENTS = ArrayType(_struct(eventId=_STR, moments=ArrayType(ArrayType(_STR))))
 ENTITIES = ArrayType(ArrayType(_DBL))
