@@ -32,7 +32,8 @@ MAX_PLACES = 250_000
 def _pieces(spark: SparkSession, path: str, files: str, id_folder: str | None) -> DataFrame:
     """One row per piece: where it stands, whether it opens or closes a document, and what it parses to."""
     text = F.btrim("value", F.lit(_SPACES))
-    scan = spark.read.option("lineSep", MARK).option("pathGlobFilter", files).text(path)
+    reader = spark.read.options(**game_logs.folder_options(id_folder))
+    scan = reader.option("lineSep", MARK).option("pathGlobFilter", files).text(path)
     rows = scan.select(
         game_logs.game_of_file(id_folder).alias("game_id"),
         F.col("_metadata.file_path").alias("source_file"),
