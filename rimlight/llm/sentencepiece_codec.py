@@ -22,6 +22,8 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -30,8 +32,13 @@ from rimlight.llm.common import small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-CACHED_WORDS, CACHED_PAIRS = 600_000, 1_000_000
+# Encoded words and pairs of pieces that a worker holds, in bytes, with what a dictionary takes for each.
+HELD_WORD_BYTES, HELD_PAIR_BYTES = 128 << 20, 48 << 20
+_WORD_COST, _PAIR_COST = 150, 100
+# Texts, and ids of one text, that a worker has as Python objects at a time.
+PIECE_BYTES, PIECE_IDS = 1 << 20, 1 << 18
 _WORD = f"{MARK}+[^{MARK}]*|[^{MARK}]+"
+_BORDER = re.compile(f"(?<!{MARK}){MARK}").search
 _UNKNOWN, _START = 1 << 20, (1 << 22) - 1
 _SHORT = (2, 1)
 _NONE = (0, -np.inf)
@@ -53,16 +60,26 @@ class Vocabulary:
         single = [c for c in "\n\t" if not any(c in p and len(p) > 1 for p in pieces)] if kind == "bpe" else []
         alone = "".join(single)
         self.split = re.compile(f"[{alone}]|{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+" if alone else _WORD).findall
+        # the recent half of what is held, and the half before it, whose entries come back when met again
         self.apart: dict[int, bool] = {}
-        self.built: dict[str, list] = {}
+        self.older_apart: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
+        self.older_words: dict[str, bytes] = {}
+        self.word_bytes = 0
+        self.built: dict[str, list] = {}
 
-    def marked_words(self, text: str) -> list[str]:
-        """Marked words of a text, with the mark before its first; an empty text has none.
+    def marked_words(self, text: str) -> Iterator[list[str]]:
+        """Marked words of a text, with the mark before its first, in lists of some ``PIECE_BYTES`` characters.
 
-        Characters that stand in no longer piece, of the line break and the tab, are words of their own.
+        An empty text has none. Characters that stand in no longer piece, of the line break and the tab, are
+        words of their own.
         """
-        return self.split(MARK + text.replace(" ", MARK)) if text else []
+        marked, start = MARK + text.replace(" ", MARK) if text else "", 0
+        while start < len(marked):
+            border = _BORDER(marked, start + PIECE_BYTES)
+            end = border.start() if border else len(marked)
+            yield self.split(marked, start, end)
+            start = end
 
     def merged(self, text: str) -> list[str]:
         """BPE by its definition: the best-scored neighbours merge first, the leftmost of equals."""
@@ -94,6 +111,8 @@ class Vocabulary:
 
     def history(self, piece: str) -> list[tuple[float, str, str]]:
         """(score, first part, last part) after each merge that builds the piece; parts must end as one."""
+        if len(piece) == 1:  # not held: any character may come
+            return [(np.inf, piece, piece)]
         known = self.built.get(piece)
         if known is None:
             parts = list(piece)
@@ -112,8 +131,12 @@ class Vocabulary:
 
     def _follows(self, key: int, left: str, piece: str) -> bool:
         """Whether BPE keeps ``left`` and ``piece`` apart: no merge over their border comes first."""
-        if len(self.apart) >= CACHED_PAIRS:
+        if len(self.apart) * _PAIR_COST >= HELD_PAIR_BYTES // 2:
+            self.older_apart = self.apart.copy()
             self.apart.clear()
+        if key in self.older_apart:
+            good = self.apart[key] = self.older_apart[key]
+            return good
         mine = self.history(piece)
         good = bool(mine)
         if good and left:
@@ -198,23 +221,46 @@ class Vocabulary:
             symbols = out
         return array("i", symbols).tobytes()
 
+    def hold(self, word: str, ids: bytes) -> None:
+        self.words[word] = ids
+        self.word_bytes += _WORD_COST + 2 * len(word) + len(ids)
+
     def learn(self, words: set[str]) -> None:
-        """Encode the words that are not held yet."""
-        new = words.difference(self.words)
-        if len(self.words) + len(new) > CACHED_WORDS:
-            self.words.clear()
-            new = words
+        """Hold the ids of all these words: encode those that are not held yet."""
+        if self.word_bytes >= HELD_WORD_BYTES // 2:
+            self.older_words, self.words, self.word_bytes = self.words, {}, 0
+        new, older, hold, ids = words.difference(self.words), self.older_words, self.hold, self.ids
+        again = [w for w in new if w in older]
+        for word in again:
+            hold(word, older[word])
+        new.difference_update(again)
         runs = [w for w in new if self.kind == "bpe" and w.startswith(MARK * 2)]
         for word in runs:  # marks of equal score: by the definition itself
-            self.words[word] = self.ids([self.number.get(p, _UNKNOWN + ord(p[0])) for p in self.merged(word)])
-        held, ids = self.words, self.ids
+            hold(word, ids([self.number.get(p, _UNKNOWN + ord(p[0])) for p in self.merged(word)]))
         gc.disable()  # nothing here is cyclic, and scans of the large tables cost a fifth of the time
         try:
             for word, symbols in self.segment(sorted(new.difference(runs))):
-                held[word] = ids(symbols)
+                hold(word, ids(symbols))
         finally:
             gc.enable()
 
+    def packed(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as 32-bit numbers; null and empty texts have none. Long texts go piece by piece."""
+        words = [[] if len(t or "") > PIECE_BYTES else [w for ws in self.marked_words(t or "") for w in ws] for t in texts]
+        self.learn({w for ws in words for w in ws})
+        held = self.words
+        out = [b"".join([held[w] for w in ws]) for ws in words]
+        for i, text in enumerate(texts):
+            if len(text or "") > PIECE_BYTES:
+                out[i] = b"".join(self._pieces(text))
+        return out
+
+    def _pieces(self, text: str) -> Iterator[bytes]:
+        for words in self.marked_words(text):
+            self.learn(set(words))
+            held = self.words
+            yield b"".join([held[w] for w in words])
+
 
 @cache
 def load(model: bytes, kind: str) -> tuple[Vocabulary, list[bytes]]:
@@ -239,30 +285,71 @@ def load(model: bytes, kind: str) -> tuple[Vocabulary, list[bytes]]:
     return Vocabulary(pieces, ordered, sp.unk_id(), kind), table
 
 
+def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut into slices of some ``PIECE_BYTES`` of text, of one row at least."""
+    for batch in batches:
+        places = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // PIECE_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(places)) + 1).tolist(), batch.num_rows]
+        for a, b in pairwise(cuts):
+            yield batch.slice(a, b - a)
+
+
+def _encoded(batches: Iterable[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
+    for batch in _slices(batches):
+        packed = vocabulary.packed(batch.column(1).to_pylist())
+        offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
+        ids = pa.array(np.frombuffer(b"".join(packed), np.int32))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), ids)], ["doc_id", "text", "ids"]
+        )
+
+
+def _decoded(batches: Iterable[pa.RecordBatch], table: list[bytes]) -> Iterator[pa.RecordBatch]:
+    get = table.__getitem__
+    for batch in batches:
+        column = batch.column(batch.schema.get_field_index("ids"))
+        flat, cuts = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+        missing = column.is_null().to_pylist()
+
+        def text(a: int, b: int, flat: np.ndarray = flat) -> str:
+            parts = [b"".join(map(get, flat[k : min(k + PIECE_IDS, b)].tolist())) for k in range(a, b, PIECE_IDS)]
+            return b"".join(parts).removeprefix(b" ").decode(errors="replace")
+
+        out = [None if missing[i] else text(int(cuts[i]), int(cuts[i + 1])) for i in range(batch.num_rows)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "decoded"])
+
+
+def _digested(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = batch.column(2)
+        flat, cuts = ids.values.to_numpy(zero_copy_only=False).astype("<i4"), ids.offsets.to_numpy()
+        sums = [zlib.crc32(flat[cuts[i] : cuts[i + 1]]) for i in range(batch.num_rows)]
+        same = [(a or "") == b for a, b in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(np.diff(cuts).astype(np.int64)), pa.array(sums, pa.int64()), pa.array(same)],
+            ["doc_id", "n_tokens", "ids_crc32", "round_trip"],
+        )
+
+
+def _texts(docs: DataFrame, model: str) -> tuple[DataFrame, Broadcast[bytes]]:
+    """doc_id and text of ``docs``, and the model file's content, read on the driver, for the tasks."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    content = spark.sparkContext.broadcast(Path(model).read_bytes())
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), content
+
+
 def encode_documents(docs: DataFrame, model: str = MODEL, kind: str = "bpe") -> DataFrame:
     """doc_id, text, ids (array of int) of each whole text, without begin and end.
 
     The model file is read on the driver. Null and empty texts have no ids. Repeated rows return each; only
     doc_id and text are read. For models without a normalisation rule, as the default one is.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    content = spark.sparkContext.broadcast(Path(model).read_bytes())
+    rows, content = _texts(docs, model)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, _ = load(content.value, kind)
-        for batch in batches:
-            texts = [vocabulary.marked_words(t or "") for t in batch.column(1).to_pylist()]
-            vocabulary.learn({w for words in texts for w in words})
-            held = vocabulary.words
-            packed = [b"".join([held[w] for w in words]) for words in texts]
-            offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
-            ids = pa.array(np.frombuffer(b"".join(packed), np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), ids)], ["doc_id", "text", "ids"]
-            )
-
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+        return _encoded(batches, load(content.value, kind)[0])
+
     return rows.mapInArrow(encode, "doc_id long, text string, ids array<int>")
 
 
@@ -273,34 +360,21 @@ def decode_ids(encoded: DataFrame, model: str = MODEL, kind: str = "bpe") -> Dat
     schema = StructType([*encoded.schema.fields, StructField("decoded", StringType())])
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, table = load(content.value, kind)
-        get = table.__getitem__
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index("ids"))
-            flat, cuts = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-            missing = column.is_null().to_pylist()
-            out = [
-                None if missing[i] else b"".join(map(get, flat[cuts[i] : cuts[i + 1]].tolist())).removeprefix(b" ").decode(errors="replace")
-                for i in range(batch.num_rows)
-            ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "decoded"])
+        return _decoded(batches, load(content.value, kind)[1])
 
     return encoded.mapInArrow(decode, schema)
 
 
 def coded_documents(docs: DataFrame, model: str = MODEL, kind: str = "bpe") -> DataFrame:
-    """doc_id, n_tokens, ids_crc32 (of the ids as little-endian 32-bit numbers), round_trip."""
-    both = decode_ids(encode_documents(docs, model, kind), model, kind)
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(2)
-            flat, cuts = ids.values.to_numpy(zero_copy_only=False).astype("<i4"), ids.offsets.to_numpy()
-            sums = [zlib.crc32(flat[cuts[i] : cuts[i + 1]]) for i in range(batch.num_rows)]
-            same = [(a or "") == b for a, b in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(cuts).astype(np.int64)), pa.array(sums, pa.int64()), pa.array(same)],
-                ["doc_id", "n_tokens", "ids_crc32", "round_trip"],
-            )
-
-    return both.mapInArrow(digest, "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean")
+    """doc_id, n_tokens, ids_crc32 (of the ids as little-endian 32-bit numbers), round_trip.
+
+    Texts are encoded as by ``encode_documents`` and their ids decoded as by ``decode_ids``, in one Python
+    worker a task: of three in a row each comes to hold a vocabulary and its words.
+    """
+    rows, content = _texts(docs, model)
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, table = load(content.value, kind)
+        return _digested(_decoded(_encoded(batches, vocabulary), table))
+
+    return rows.mapInArrow(code, "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean")

@@ -1,7 +1,11 @@
 import random
+import zlib
+from array import array
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,6 +153,41 @@ def test_ids_equal_the_library_and_round_trip(spark, odd_docs, no_docs):
     assert sentencepiece_codec.coded_documents(no_docs).count() == 0
 
 
+def test_coding_takes_one_python_worker_a_task(spark, odd_docs):
+    coded = sentencepiece_codec.coded_documents(odd_docs)
+    assert coded._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    steps = sentencepiece_codec.decode_ids(sentencepiece_codec.encode_documents(odd_docs)).collect()
+    expected = [(r.doc_id, len(r.ids), zlib.crc32(array("i", r.ids).tobytes()), r.decoded == (r.text or "")) for r in steps]
+    assert sorted(map(repr, map(tuple, coded.collect()))) == sorted(map(repr, expected))
+
+
+def test_held_words_are_bounded_in_bytes(monkeypatch):
+    import sentencepiece
+
+    for name, bound in [("HELD_WORD_BYTES", 40_000), ("HELD_PAIR_BYTES", 20_000), ("PIECE_BYTES", 300), ("PIECE_IDS", 7)]:
+        monkeypatch.setattr(sentencepiece_codec, name, bound)
+    sp = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
+    vocabulary, table = sentencepiece_codec.load.__wrapped__(Path(sentencepiece_codec.MODEL).read_bytes(), "bpe")
+    rng = random.Random(4)
+
+    def word():
+        return "".join(rng.choice("abcdefgh日é\n\t ") for _ in range(rng.choice([1, 3, 9, 90])))
+
+    texts = [" ".join(word() for _ in range(rng.choice([0, 1, 5, 60]))) for _ in range(300)] + [None, "", "   ", "x" * 2_000]
+    texts += texts[:50]
+    given = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+    got = 0
+    for batch in sentencepiece_codec._decoded(sentencepiece_codec._encoded([given], vocabulary), table):
+        for row in batch.to_pylist():
+            assert row["text"] == texts[row["doc_id"]] and row["decoded"] == (row["text"] or "")
+            assert row["ids"] == sp.encode(row["text"] or "")
+            got += 1
+        held = {**vocabulary.words, **vocabulary.older_words}
+        assert sum(len(w) + len(ids) for w, ids in held.items()) < 40_000 + 20_000
+        assert 100 * (len(vocabulary.apart) + len(vocabulary.older_apart)) <= 20_000
+    assert got == len(texts) and vocabulary.older_words and vocabulary.older_apart
+
+
 def test_unigram_viterbi_equals_brute_force():
     pieces = {p: (i, s) for i, (p, s) in enumerate([("a", -2.0), ("b", -2.1), ("ab", -3.0), ("ba", -2.5), ("aba", -3.9), ("bab", -3.2)])}
     vocabulary = sentencepiece_codec.Vocabulary(pieces, [], 99, "unigram")
